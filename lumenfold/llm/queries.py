@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lumenfold.llm.forest import batch_matches
 from lumenfold.llm.mixing import mix_sources
 from lumenfold.llm.nearest import live_pairs
+from lumenfold.llm.personal import find_items, redact
 from lumenfold.llm.representatives import planning_representatives
 from lumenfold.llm.tokens import encode_texts
 from lumenfold.sources.tables import table
@@ -38,7 +39,15 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return find_items(table(spark, folder, "documents"), "doc_id", "text")
+
+
+def p8_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    return redact(table(spark, folder, "documents"), "doc_id", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p3_found, p4_found, p6_ids, p7_mix, p7_shares)
+    f.__name__: f for f in (p2_found, p3_found, p4_found, p6_ids, p7_mix, p7_shares, p8_found, p8_redacted)
 }
 ORACLE: dict[str, str] = {}
