@@ -134,8 +134,8 @@ def wall_and_offset(text: Column) -> tuple[Column, Column]:
     wall = F.when(text.rlike(shape), F.expr("0").cast("bigint") + F.unix_micros(F.try_to_timestamp(F.concat(iso, F.lit("+00:00")))))
     zone = F.when(text.rlike(shape), F.regexp_extract(text, shape, 6))
     sign = F.when(zone.startswith("-"), -1).otherwise(1)
-    offset = F.when(zone == "Z", 0).when(
-        zone.rlike("^[+-]"), sign * (F.substring(zone, 2, 2).try_cast("int") * 3600 + F.substring(zone, 5, 2).try_cast("int") * 60)
+    offset = F.when(zone == "Z", F.lit(0).cast("bigint")).when(
+        zone.rlike("^[+-]"), sign * (F.substring(zone, 2, 2).try_cast("bigint") * 3600 + F.substring(zone, 5, 2).try_cast("bigint") * 60)
     )
     return wall, offset
 
