@@ -37,13 +37,24 @@ def classify(candidates: DataFrame, library: DataFrame) -> DataFrame:
     )
 
 
+def _first(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """(keys, __first): the asset_id first in order of each key, by an aggregate with map-side combine."""
+    return rows.groupBy(*keys).agg(F.min(F.struct(*order, "asset_id"))["asset_id"].alias("__first"))
+
+
 def single_copies(rows: DataFrame) -> DataFrame:
-    """Among new files of one size and digest the one of highest priority stays new."""
-    group = Window.partitionBy("size_bytes", "sha256").orderBy(F.col("source_priority").desc_nulls_last(), "source_name", "relative_path", "asset_id")
-    fresh = (F.col("action") == "new") & F.col("has_digest")
-    ranked = rows.where(fresh).withColumn("__n", F.row_number().over(group))
-    ranked = ranked.withColumn("action", F.when(F.col("__n") > 1, "duplicate_candidate").otherwise("new")).drop("__n")
-    return ranked.unionByName(rows.where(~fresh))
+    """Among new files of one size and digest the one of highest priority stays new.
+
+    The keepers are joined back, so a content that a third of all files share is no one task's work.
+    """
+    fresh = (F.col("action") == "new") & F.col("has_digest") & F.col("size_bytes").isNotNull()
+    # least first: a null priority counts as the lowest
+    rank = (-F.coalesce(F.col("source_priority").cast("long"), F.lit(-(1 << 40)))).alias("__r")
+    keep = _first(rows.where(fresh), ["size_bytes", "sha256"], [rank, "source_name", "relative_path"])
+    joined = rows.join(keep, ["size_bytes", "sha256"], "left")
+    later = fresh & (F.col("__first") != F.col("asset_id"))
+    action = F.when(F.coalesce(later, F.lit(False)), "duplicate_candidate").otherwise(F.col("action"))
+    return joined.withColumn("action", action).select(rows.columns)
 
 
 def place(rows: DataFrame, occupied: DataFrame, base: str = "Imported") -> DataFrame:
@@ -52,17 +63,17 @@ def place(rows: DataFrame, occupied: DataFrame, base: str = "Imported") -> DataF
     Claims go by lower-cased path: the first in (source_name, relative_path, asset_id) order keeps
     the plain name. ``occupied``: (claim_key) of existing files.
     """
-    wanted = F.concat(F.lit(base + "/"), F.col("relative_path"))
-    new = rows.where("action = 'new'").withColumn("destination", wanted).withColumn("claim_key", F.lower("destination"))
-    claims = Window.partitionBy("claim_key").orderBy("source_name", "relative_path", "asset_id")
-    new = new.withColumn("__n", F.row_number().over(claims)).join(occupied.select("claim_key", F.lit(True).alias("__taken")).distinct(), "claim_key", "left")
-    clash = F.col("__taken").isNotNull() | (F.col("__n") > 1)
+    wanted = F.when(F.col("action") == "new", F.concat(F.lit(base + "/"), F.col("relative_path")))
+    rows = rows.withColumn("destination", wanted).withColumn("claim_key", F.lower("destination"))
+    first = _first(rows.where("claim_key is not null"), ["claim_key"], ["source_name", "relative_path"])
+    taken = occupied.select("claim_key", F.lit(True).alias("__taken")).distinct()
+    out = rows.join(first, "claim_key", "left").join(taken, "claim_key", "left")
+    clash = F.coalesce(F.col("claim_key").isNotNull() & (F.col("__taken").isNotNull() | (F.col("__first") != F.col("asset_id"))), F.lit(False))
     name = path_name(F.col("destination"))
     folder = F.substring("destination", F.lit(1), F.length("destination") - F.length(name))
-    new = new.withColumn("collided", clash).withColumn("destination", F.when(clash, F.concat(folder, import_name(name, F.col("asset_id")))).otherwise(F.col("destination")))
-    new = new.drop("__n", "__taken", "claim_key")
-    rest = rows.where("action != 'new'").withColumn("collided", F.lit(False)).withColumn("destination", F.lit(None).cast("string"))
-    return new.unionByName(rest.select(new.columns))
+    return out.withColumn("collided", clash).withColumn(
+        "destination", F.when(clash, F.concat(folder, import_name(name, F.col("asset_id")))).otherwise(F.col("destination"))
+    ).drop("__first", "__taken", "claim_key")
 
 
 def collision_numbers(df: DataFrame, key: str, ident: str = "asset_id") -> DataFrame:

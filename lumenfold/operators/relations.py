@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions.identity import content_identifier, media_type, stem
 from lumenfold.functions.text import normalised_stem, path_parent, timestamp_class, wall_and_offset
+from lumenfold.session import materialise
 
 COLUMNS = ("relationship_type", "status", "primary_id", "secondary_id", "confidence", "candidates")
 
@@ -65,18 +66,21 @@ _CLOSE = ("exact_within_3_seconds", "same_wall_clock_within_3_seconds", "unavail
 def fallback_pairs(rows: DataFrame) -> DataFrame:
     """Image and video without identifiers, of one source and stem, near in folder and time.
 
-    Greedy by image path as the order decides contested videos; keys here are one stem of one
-    source, small by nature, and go to a grouped pandas function. A key is cut by nothing.
+    Greedy by image path, as the order decides contested videos. Near folders have the same
+    parent, so a group is one stem of one source below one parent: files of one name in sibling
+    folders, few by nature. Only groups with both kinds go to the grouped pandas function.
     """
     def pair(pdf: pd.DataFrame) -> pd.DataFrame:
         from lumenfold.operators.relations_local import greedy
 
         return greedy(pdf)
 
-    both = rows.where("identifier is null").groupBy("source_name", "stem_key").agg(F.countDistinct("kind").alias("k")).where("k = 2")
-    small = rows.where("identifier is null").join(both.drop("k"), ["source_name", "stem_key"], "left_semi")
+    keys = ["source_name", "stem_key", "parent"]
+    free = rows.where("identifier is null").withColumn("parent", path_parent(F.col("folder")))
+    both = free.groupBy(*keys).agg(F.min("kind").alias("a"), F.max("kind").alias("b")).where("a != b").select(*keys)
+    small = free.join(both, keys, "left_semi")
     schema = "status string, primary_id long, secondary_id long, candidates long"
-    out = small.groupBy("source_name", "stem_key").applyInPandas(pair, schema)
+    out = small.groupBy(*keys).applyInPandas(pair, schema)
     return out.select(F.lit("filename_pair").alias("relationship_type"), "status", "primary_id", "secondary_id", F.lit(0.6).alias("confidence"), "candidates")
 
 
@@ -86,14 +90,18 @@ def _without(rows: DataFrame, *edges: DataFrame) -> DataFrame:
 
 
 def detect(rows: DataFrame) -> DataFrame:
-    """All stages: exact, one-sided, filename fallback, orphans."""
-    exact = exact_pairs(rows)
+    """All stages: exact, one-sided, filename fallback, orphans.
+
+    Each stage's result is written to the shared folder, as all later stages read it.
+    """
+    rows = materialise(rows)
+    exact = materialise(exact_pairs(rows))
     matched = rows.where("kind = 'image' and identifier is not null").select("identifier").distinct()
     taken = rows.where("kind = 'video'").join(matched, "identifier", "left_semi").select(F.col("asset_id").alias("primary_id"), F.lit(None).cast("long").alias("secondary_id"))
-    left = _without(rows, exact, taken)
-    sided = one_sided_pairs(left)
-    left = _without(left, sided)
-    named = fallback_pairs(left)
+    left = materialise(_without(rows, exact, taken))
+    sided = materialise(one_sided_pairs(left))
+    left = materialise(_without(left, sided))
+    named = materialise(fallback_pairs(left))
     left = _without(left, named.where("status = 'active'")).where("identifier is not null")
     orphans = left.select(
         F.concat(F.lit("orphan_motion_"), F.col("kind")).alias("relationship_type"), F.lit("orphan").alias("status"),
