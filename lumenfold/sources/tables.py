@@ -20,5 +20,5 @@ def spread(df: DataFrame) -> DataFrame:
     groups enough and is left as it is, so large inputs are never shuffled for this.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < SPREAD_BELOW * cores else df
