@@ -6,9 +6,10 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def collision_key(names: pd.Series) -> pd.Series:
     """NFC and case-folded, so that names a file system may hold equal are equal; null stays null."""
     return names.map(lambda s: None if s is None else unicodedata.normalize("NFC", s).casefold())
