@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions.identity import digest, human_readable, usable, uuid_name
 from lumenfold.functions.timestamps import normalise_timestamps
+from lumenfold.session import materialise
 
 
 def top_record(df: DataFrame, group: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -34,8 +35,9 @@ def representatives(
 
     ``donors``: output column -> (condition, order); the key of the best record meeting the
     condition, 0 if there is none. Keys must be unique. Records with a null group are in no group.
+    The records are written to the shared folder once, as each ranking reads them.
     """
-    rows = records.where(F.col(group).isNotNull())
+    rows = materialise(records.where(F.col(group).isNotNull()))
     sizes = rows.groupBy(group).agg(F.count("*").alias("__n")).where("__n > 1").drop("__n")
     out = sizes.join(top_record(rows, [group], order).select(group, key), group)
     for name, (condition, best) in donors.items():
