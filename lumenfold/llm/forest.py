@@ -65,7 +65,8 @@ def content_classes(files: DataFrame, *keep: str) -> DataFrame:
     pieces = F.when(F.size(pieces) > 0, pieces)
     return files.select(
         "id", *keep, "digest", pieces.alias("pieces"),
-        F.sha2(F.concat_ws("|", F.coalesce("digest", F.lit("-")), F.coalesce(pieces.cast("string"), F.lit("-"))), 256).alias("class"),
+        # 128 bits of a hash name the class
+        F.unhex(F.md5(F.concat_ws("|", F.coalesce("digest", F.lit("-")), F.coalesce(pieces.cast("string"), F.lit("-"))))).alias("class"),
         F.xxhash64(pieces).alias("set_hash"),
     )
 
@@ -126,11 +127,12 @@ class HashForest:
         self.written += 1
         return f"{self.folder}/run-{self.written}"
 
-    def _append(self, classes: DataFrame, members: DataFrame) -> None:
+    def _append(self, classes: DataFrame, members: DataFrame, labels: DataFrame | None = None) -> None:
         run = self._new_run()
         # one row a class: the sorted labels point to it, members may be many
         unique = classes.dropDuplicates(["class"])
-        self.labels(unique).select("tree", "label", "class").repartition("tree", "label").sortWithinPartitions("tree", "label").write.parquet(f"{run}/labels")
+        labels = self.labels(unique) if labels is None else labels
+        labels.select("tree", "label", "class").repartition("tree", "label").sortWithinPartitions("tree", "label").write.parquet(f"{run}/labels")
         unique.select("class", "digest", "pieces").write.parquet(f"{run}/classes")
         members.select("class", "id").write.parquet(f"{run}/members")
         self.runs.append(run)
@@ -161,13 +163,13 @@ class HashForest:
 
     # -- matching -------------------------------------------------------------------------
 
-    def _matches(self, queries: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-        """(q, a): classes of the queries and the others they match, verified."""
+    def _matches(self, queries: DataFrame, marks: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+        """(q, a): classes of the queries, with labels ``marks``, and the others they match, verified."""
         by_digest = queries.where("digest is not null").select(F.col("class").alias("q"), "digest").join(
             classes.where("digest is not null").select(F.col("class").alias("a"), "digest"), "digest"
         ).select("q", "a")
         found = (
-            self.labels(queries).select("tree", "label", F.col("class").alias("q"))
+            marks.select("tree", "label", F.col("class").alias("q"))
             .join(labels.select("tree", "label", F.col("class").alias("a")), ["tree", "label"])
             .select("q", "a").distinct()
         )
@@ -196,12 +198,14 @@ class HashForest:
         classes = materialise(
             told.groupBy("class").agg(F.min("at").alias("first"), F.first("digest").alias("digest"), F.first("pieces").alias("pieces"))
         )
-        old = materialise(self._matches(classes, self._history("labels"), self._history("classes")))
+        # the labels of the batch are made once: to search the history and the batch, and to be stored
+        marks = materialise(self.labels(classes).select("tree", "label", "class"))
+        old = materialise(self._matches(classes, marks, self._history("labels"), self._history("classes")))
         blocked = old.select(F.col("q").alias("class")).distinct()
         free = classes.join(blocked, "class", "left_anti")
         first = classes.select(F.col("class").alias("c"), "first")
         edges = materialise(
-            self._matches(classes, self.labels(free), free).where("q != a")
+            self._matches(classes, marks, marks.join(free.select("class"), "class", "left_semi"), free).where("q != a")
             .join(first.withColumnsRenamed({"c": "q", "first": "q_first"}), "q")
             .join(first.withColumnsRenamed({"c": "a", "first": "a_first"}), "a")
         )
@@ -218,7 +222,7 @@ class HashForest:
             .select(F.col("at.id").alias("case_id"), "accepted_id")
         )
         # files without digest and pieces match nothing and are accepted; nothing can match them
-        self._append(chosen, chosen.select("class", F.col("first.id").alias("id")))
+        self._append(chosen, chosen.select("class", F.col("first.id").alias("id")), marks.join(chosen.select("class"), "class", "left_semi"))
         return pairs
 
     @staticmethod
