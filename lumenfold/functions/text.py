@@ -158,3 +158,11 @@ def timestamp_class(left: tuple[Column, Column], right: tuple[Column, Column], n
         )
         .otherwise("incompatible")
     )
+
+
+def progress(done: Column, total: Column, seconds: Column) -> Column:
+    """struct(percent, speed, eta_s): held between 0 and 100; speed and time left null where unknown."""
+    speed = F.try_divide(done.cast("double"), F.nullif(seconds.cast("double"), F.lit(0.0)))
+    percent = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.try_divide(done.cast("double") * 100, F.nullif(total.cast("double"), F.lit(0.0))))), F.lit(100.0))
+    left = F.greatest(total - done, F.lit(0))
+    return F.struct(percent.alias("percent"), speed.alias("speed"), F.try_divide(left.cast("double"), F.nullif(speed, F.lit(0.0))).alias("eta_s"))

@@ -701,3 +701,104 @@ SELECT k, CASE WHEN b >= 1073741824 THEN printf('%.2f', floor(b / 1073741824.0::
 def f27_formats(spark, folder):
     rows = table(spark, folder, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_totalprice") * 1000).cast("bigint").alias("b")).distinct()
     return rows.select("k", T.format_bytes(F.col("b")).alias("size"), T.format_duration(F.col("k") % 100000).alias("duration"))
+
+
+# -- further operators ---------------------------------------------------------------------
+
+
+@query(f"""WITH {CUR} SELECT e.evidence_id, c.absolute_path, c.size_bytes, c.sha256 FROM (SELECT DISTINCT evidence_id, asset_id FROM date_evidence) e
+LEFT JOIN cur c USING (asset_id) WHERE c.absolute_path IS NOT NULL AND c.size_bytes IS NOT NULL AND c.sha256 IS NOT NULL""")
+def j9_buildable_items(spark, folder):
+    items = table(spark, folder, "date_evidence").select("evidence_id", "asset_id").distinct()
+    fields = ["absolute_path", "size_bytes", "sha256"]
+    return items.join(cur(spark, folder).select("asset_id", *fields), "asset_id", "left").dropna(subset=fields).select("evidence_id", *fields)
+
+
+@query(f"""WITH {CUR} SELECT e.evidence_id, e.asset_id, c.filename FROM (SELECT DISTINCT evidence_id, asset_id FROM date_evidence) e JOIN cur c USING (asset_id)
+ORDER BY e.evidence_id, e.asset_id LIMIT 50 OFFSET 20""")
+def j19_item_page(spark, folder):
+    items = table(spark, folder, "date_evidence").select("evidence_id", "asset_id").distinct()
+    rows = items.join(cur(spark, folder).select("asset_id", "filename"), "asset_id")
+    return inventory.page(rows, [F.col("evidence_id"), F.col("asset_id")], 20, 50).select("evidence_id", "asset_id", "filename")
+
+
+@query(f"""WITH {_INSPECT}, v AS (SELECT identifier, count(*) AS n FROM ins WHERE kind = 'video' AND identifier IS NOT NULL GROUP BY 1)
+SELECT 'apple_live_photo' AS relationship_type, CASE WHEN n = 1 THEN 'active' ELSE 'ambiguous' END AS status, CAST(count_if(true) AS BIGINT) AS edges
+FROM ins JOIN v USING (identifier) WHERE kind = 'image' GROUP BY 1, 2""")
+def a6_relationship_counts(spark, folder):
+    return relations.exact_pairs(_inspect(spark, folder)).groupBy("relationship_type", "status").agg(F.count("*").alias("edges"))
+
+
+@query(f"""WITH {CUR}, e AS (SELECT asset_id, max(confidence) AS best, bool_and(derivation = 'estimated') AS estimated FROM date_evidence GROUP BY 1)
+SELECT count(*) AS scanned, CAST(count_if(captured_at IS NOT NULL) AS BIGINT) AS dated, CAST(count_if(captured_at IS NULL) AS BIGINT) AS missing,
+  CAST(count_if(captured_at IS NULL AND best >= 95) AS BIGINT) AS high_confidence, CAST(count_if(captured_at IS NULL AND estimated) AS BIGINT) AS estimated,
+  CAST(count_if(captured_at IS NULL AND best IS NULL) AS BIGINT) AS no_evidence FROM cur LEFT JOIN e USING (asset_id)""")
+def a20_date_summary(spark, folder):
+    ev = table(spark, folder, "date_evidence").groupBy("asset_id").agg(F.max("confidence").alias("best"), F.bool_and(F.col("derivation") == "estimated").alias("estimated"))
+    return cur(spark, folder).join(ev, "asset_id", "left").agg(F.count("*").alias("scanned"), *inventory.counted(
+        dated="captured_at is not null", missing="captured_at is null", high_confidence="captured_at is null and best >= 95",
+        estimated="captured_at is null and estimated", no_evidence="captured_at is null and best is null",
+    ))
+
+
+@query(f"""WITH {CUR}, {_SEEN} SELECT c.asset_id, c.sha256 FROM cur c JOIN seen s USING (asset_id)
+WHERE c.hash_status = 'completed' AND c.size_bytes = s.obs_size AND c.mtime_ns = s.obs_mtime""")
+def l2_reusable_hashes(spark, folder):
+    return cur(spark, folder).where("hash_status = 'completed'").join(_analysed(spark, folder), "asset_id").where(
+        "size_bytes = obs_size and mtime_ns = obs_mtime"
+    ).select("asset_id", "sha256")
+
+
+@query("""SELECT o_custkey AS plan_id, max_by(o_orderstatus, o_orderkey) AS status, max(o_orderkey) AS run_id,
+  max_by(o_orderstatus, o_orderkey) IN ('O', 'P') AS resumable FROM orders GROUP BY 1""")
+def l4_resumable_runs(spark, folder):
+    o = table(spark, folder, "orders").select(F.col("o_custkey").alias("plan_id"), F.col("o_orderkey").alias("run_id"), F.col("o_orderstatus").alias("status"))
+    return runs.latest(o, ["plan_id"], "run_id", ["status"]).withColumn("resumable", F.col("status").isin("O", "P"))
+
+
+@query("""SELECT DISTINCT o_custkey AS plan_id FROM orders a WHERE EXISTS (SELECT 1 FROM orders b WHERE b.o_custkey = a.o_custkey AND b.o_orderstatus = 'F')
+AND NOT EXISTS (SELECT 1 FROM orders b WHERE b.o_custkey = a.o_custkey AND b.o_orderstatus = 'P')""")
+def l5_gated_plans(spark, folder):
+    o = table(spark, folder, "orders").select(F.col("o_custkey").alias("plan_id"), "o_orderstatus")
+    return o.where("o_orderstatus = 'F'").select("plan_id").distinct().join(o.where("o_orderstatus = 'P'"), "plan_id", "left_anti")
+
+
+@query("""SELECT a.source_name, b.source_name AS inside FROM capture_sources a JOIN capture_sources b ON a.source_name != b.source_name
+AND (starts_with(a.root_path, b.root_path || '/') OR starts_with('/vol/' || split_part(a.root_path, '/', 3), b.root_path || '/'))""")
+def l10_overlapping_roots(spark, folder):
+    roots = table(spark, folder, "capture_sources").select("source_name", "root_path")
+    # every ancestor of a root, so that overlap is an equality and no pairs of roots are compared
+    up = roots.select("source_name", F.explode(F.expr("transform(sequence(2, size(split(root_path, '/')) - 1), k -> array_join(slice(split(root_path, '/'), 1, k), '/'))")).alias("root_path"))
+    return up.join(roots.withColumnRenamed("source_name", "inside"), "root_path").where("source_name != inside").select("source_name", "inside")
+
+
+@query("SELECT doc_id, sha256(text) AS sha256, strlen(text) AS size_bytes FROM documents WHERE text IS NOT NULL")
+def f1_content_digests(spark, folder):
+    return table(spark, folder, "documents").where("text is not null").select(
+        "doc_id", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("size_bytes")
+    )
+
+
+@query("""SELECT DISTINCT l_quantity AS q, l_linenumber AS n, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_quantity / l_linenumber END AS rate
+FROM (SELECT CAST(l_quantity AS DOUBLE) AS l_quantity, l_linenumber FROM lineitem)""")
+def f10_frame_rates(spark, folder):
+    rows = table(spark, folder, "lineitem").select(F.col("l_quantity").cast("double").alias("q"), F.col("l_linenumber").alias("n")).distinct()
+    text = F.concat(F.col("q").cast("string"), F.lit("/"), F.when(F.col("n") == 7, "0").otherwise(F.col("n").cast("string")))
+    return rows.select("q", "n", T.frame_rate(text).alias("rate"))
+
+
+@query("""WITH s AS (SELECT l_orderkey AS k, count_if(l_linestatus = 'F') AS d, count(*) AS t FROM lineitem GROUP BY 1)
+SELECT k, 100.0::DOUBLE * d / t AS percent, d / 8.0::DOUBLE AS speed, CASE WHEN d > 0 THEN (t - d) / (d / 8.0::DOUBLE) END AS eta_s FROM s""")
+def f29_progress(spark, folder):
+    per = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.count_if(F.col("l_linestatus") == "F").alias("d"), F.count("*").alias("t"))
+    return per.select(F.col("l_orderkey").alias("k"), T.progress(F.col("d"), F.col("t"), F.lit(8)).alias("p")).select("k", "p.percent", "p.speed", "p.eta_s")
+
+
+@query(f"""WITH {CUR} SELECT asset_id, mtime_ns // 1000000000 * 1000000 AS utc_micros FROM cur WHERE mtime_ns IS NOT NULL""")
+def s7_sidecar_times(spark, folder):
+    # a sidecar written from each file time, read back
+    from lumenfold.sources.media import takeout_micros
+
+    seconds = F.expr("mtime_ns div 1000000000").cast("string")
+    side = F.to_json(F.struct(F.struct(seconds.alias("timestamp")).alias("photoTakenTime")))
+    return cur(spark, folder).where("mtime_ns is not null").select("asset_id", takeout_micros(side).alias("utc_micros"))
