@@ -66,7 +66,7 @@ def nearest_in_time(left: DataFrame, right: DataFrame, tolerance_us: int) -> Dat
     """
     whole = lambda df: df.select("entity", "at", "id").dropna()
     width = max(1, 4 * tolerance_us)
-    cell = lambda shift: F.expr(f"floor((at + ({shift})) / {width})")
+    cell = lambda shift: F.expr(f"(at + ({shift}) - pmod(at + ({shift}), {width})) div {width}")
     r = whole(right).groupBy("entity", "at").agg(F.min("id").alias("id"))
     r = r.withColumn("cell", F.explode(F.array_distinct(F.array(cell(-tolerance_us), cell(tolerance_us)))))
     l = whole(left).withColumn("cell", cell(0))  # noqa: E741
