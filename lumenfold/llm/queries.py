@@ -50,4 +50,33 @@ def p8_redacted(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p2_found, p3_found, p4_found, p6_ids, p7_mix, p7_shares, p8_found, p8_redacted)
 }
-ORACLE: dict[str, str] = {}
+_USABLE = "coalesce(lower(regexp_replace({c}, '^[\\s\\x00-\\x1f\\p{{Z}}\\p{{P}}\\p{{S}}]+|[\\s\\x00-\\x1f\\p{{Z}}\\p{{P}}\\p{{S}}]+$', '', 'g')) NOT IN ('', 'n/a', 'na', 'none', 'null', 'unknown', 'unknown make'), false)"
+ORACLE: dict[str, str] = {
+    "p2_found": f"""
+WITH p AS (
+  SELECT DISTINCT * FROM planning_assets QUALIFY rank() OVER (PARTITION BY asset_id ORDER BY recorded_at DESC) = 1
+), n AS (
+  SELECT p.asset_id, p.recorded_at, coalesce(p.source_priority, s.source_priority) AS priority, p.relative_path, p.absolute_path,
+    regexp_replace(lower(regexp_replace(p.sha256, '^\\s+|\\s+$', '', 'g')), '^(?:sha-?256[:=]|0x)', '') AS content,
+    regexp_replace(p.filename, '^(.+)\\.[^.]+$', '\\1') AS stem, regexp_replace(p.captured_at, '^\\s+|\\s+$', '', 'g') AS t,
+    {_USABLE.format(c="p.camera_make")} AS make, {_USABLE.format(c="p.camera_model")} AS model
+  FROM p LEFT JOIN capture_sources s ON p.source_name = s.source_name
+), r AS (
+  SELECT *, regexp_matches(stem, '^[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[1-5][0-9a-fA-F]{{3}}-[89abAB][0-9a-fA-F]{{3}}-[0-9a-fA-F]{{12}}$') AS generated,
+    coalesce(regexp_matches(t, '^[0-9]{{4}}[:-][0-9]{{2}}[:-][0-9]{{2}}[ T][0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}(\\.[0-9]+)?(Z|[+-][0-9]{{2}}:[0-9]{{2}})?$')
+      AND t[1:4] != '0000' AND try_cast(t[1:4] || '-' || t[6:7] || '-' || t[9:10] || ' ' || t[12:19] AS TIMESTAMP) IS NOT NULL, false) AS dated
+  FROM n WHERE regexp_matches(content, '^[0-9a-f]{{64}}$')
+), g AS (
+  SELECT content FROM r GROUP BY 1 HAVING count(*) > 1
+), best AS (
+  SELECT content, asset_id FROM r QUALIFY row_number() OVER (PARTITION BY content ORDER BY priority DESC NULLS LAST,
+    (regexp_matches(stem, '\\p{{L}}') AND NOT generated) DESC, generated, dated::INT + make::INT + model::INT DESC, length(relative_path), absolute_path, asset_id) = 1
+), c AS (
+  SELECT content, asset_id FROM r WHERE dated QUALIFY row_number() OVER (PARTITION BY content ORDER BY priority DESC NULLS LAST, recorded_at DESC, asset_id) = 1
+), m AS (
+  SELECT content, asset_id FROM r WHERE make QUALIFY row_number() OVER (PARTITION BY content ORDER BY priority DESC NULLS LAST, recorded_at DESC, asset_id) = 1
+)
+SELECT best.asset_id, coalesce(c.asset_id, 0) AS captured_from, coalesce(m.asset_id, 0) AS make_from
+FROM g JOIN best USING (content) LEFT JOIN c USING (content) LEFT JOIN m USING (content)
+""",
+}
