@@ -13,12 +13,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """The rows of a small scan dealt out over all cores, as one row group is one task's work.
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Columns of a small table dealt out over all cores, as one row group is one task's work.
 
-    Decided by Catalyst's size estimate alone: a table of more than ``SPREAD_BELOW`` a core has row
+    Decided by the stored size of the whole table: one of more than ``SPREAD_BELOW`` a core has row
     groups enough and is left as it is, so large inputs are never shuffled for this.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < SPREAD_BELOW * cores else df
+    chosen = df.select(*columns) if columns else df
+    return chosen.repartition(cores) if size < SPREAD_BELOW * cores else chosen
