@@ -28,23 +28,23 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
-    return encode_texts(spread(table(spark, folder, "documents").select("doc_id", "text")), "text", "ids")
+    return encode_texts(spread(table(spark, folder, "documents"), "doc_id", "text"), "text", "ids")
 
 
 def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
-    return mix_sources(spread(table(spark, folder, "documents").select("doc_id", "source", "text")), table(spark, folder, "mix_targets"))[0]
+    return mix_sources(spread(table(spark, folder, "documents"), "doc_id", "source", "text"), table(spark, folder, "mix_targets"))[0]
 
 
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
-    return mix_sources(spread(table(spark, folder, "documents").select("doc_id", "source", "text")), table(spark, folder, "mix_targets"))[1]
+    return mix_sources(spread(table(spark, folder, "documents"), "doc_id", "source", "text"), table(spark, folder, "mix_targets"))[1]
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    return find_items(spread(table(spark, folder, "documents").select("doc_id", "text")), "doc_id", "text")
+    return find_items(spread(table(spark, folder, "documents"), "doc_id", "text"), "doc_id", "text")
 
 
 def p8_redacted(spark: SparkSession, folder: str) -> DataFrame:
-    return redact(spread(table(spark, folder, "documents").select("doc_id", "text")), "doc_id", "text")
+    return redact(spread(table(spark, folder, "documents"), "doc_id", "text"), "doc_id", "text")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
