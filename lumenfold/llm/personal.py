@@ -50,12 +50,15 @@ avenue ave road lane square institute university fund foundation hall park socie
 algorithm distribution process space group code number constant line collaboration bridge river mills port""".split()
 OPENERS = """the a an this that following in of and we if however here it its our for from by with to as table section figure
 lemma theorem university institute department dr prof professor mr mrs ms contact corresponding author contributor record
-requests errata correspondence unpublished patient sampling samples samplings samples runs package tel phone fax old port saint new""".split()
+requests errata correspondence unpublished patient sampling samples samplings samples runs package tel phone fax old port saint new das die der den dem ein eine mit für bei""".split()
 STREETS = "Street|St\\.|Avenue|Ave\\.?|Lane|Road|Rd\\.|Drive|Boulevard|Blvd|Way|Court|Square|Terrace|Close|Crescent|Hill|Row"
 GERMAN = "stra(?:ß|ss)e|str\\.|gasse|weg|platz|allee|ring|damm|ufer"
 ROMANCE = "Calle|Avenida|Plaza|Paseo|Rua|Via|Viale|Piazza|Largo"
 FRENCH = "rue|avenue|boulevard|place|chemin|quai|allée|impasse"
 
+# Words of German prose, in which every noun has a capital.
+_GERMAN_WORDS = re.compile(r"(?i)\b(?:der|die|das|den|dem|und|ist|sind|wird|eine?|für|mit|von|bei|durch|nicht|auf|zur?|im|als|wie|aus|nach|sich|werden|wurde)\b")
+
 _WORD = r"[^\W\d_]"
 _FAMILY = rf"(?:(?:van|von|de|der|den|da|di|del)[ ~])*(?:O'|Mc|Mac)?[^\W\d_a-zß-öø-ÿ]{_WORD}+(?:-(?:O')?[^\W\d_a-zß-öø-ÿ]{_WORD}+)*"
 _FIRST = rf"[^\W\d_a-zß-öø-ÿ]{_WORD}+(?:-[^\W\d_a-zß-öø-ÿ]{_WORD}+)?"
@@ -88,6 +91,8 @@ GRAMMARS: tuple[tuple[str, re.Pattern], ...] = (
     ("name", re.compile(rf"(?<![\w-])(?=({_FAMILY},{_GAP}{_FIRST}(?:{_GAP}[^\W\d_a-z]\.)*)(?![\w]))")),
 )
 
+#: What every email holds: the grammar itself is slow where there is none.
+_MAIL = re.compile(rf"{_AT}[\w-]+{_DOT}[\w-]", re.I)
 _given = frozenset(g.casefold() for g in GIVEN)
 _things, _openers = frozenset(THINGS), frozenset(OPENERS)
 CUES = (
@@ -98,21 +103,33 @@ CUES = (
 )
 
 
+# The same in RE2, whose own classes are ASCII: a capital, a letter, an initial.
+_CAPITAL, _LETTER = r"(?:[^\P{L}a-zß-öø-ÿ]|\p{Nl}|\p{No})", r"[\p{L}\p{Nl}\p{No}]"
+_INITIAL = r"(?:[^\P{L}a-z]|\p{Nl}|\p{No})\."
+_FAMILY_HEAD = rf"(?:(?:van|von|de|der|den|da|di|del)[ ~])*(?:O'|Mc|Mac)?{_CAPITAL}{_LETTER}"
+#: Lines whose end and next line's beginning may be the parts of one name.
+NAME_ENDS, NAME_GOES_ON = rf"(?:{_CAPITAL}{_LETTER}+,?|{_INITIAL}) ?\r?\n\z", rf"\A ?(?:{_INITIAL}|{_FAMILY_HEAD})"
+
+
 def anchor_pattern() -> str:
-    """RE2 pattern of lines that may hold an item; it decides only where the field looks."""
-    names = "|".join(sorted({v for g in GIVEN for v in (g, g.upper())}))
-    cues = r"e thank |Dr\.|Prof\.|orresponding author|ontact|consent|onsent form|cknowledg|ORCID|SSN"
+    """RE2 pattern of lines that may hold an item; it decides only where the field looks.
+
+    Names need no list: any pair of capitalised words is looked at.
+    """
+    names = rf"{_CAPITAL}{_LETTER}+(?:-{_CAPITAL}{_LETTER}+)?[ ~](?:{_INITIAL}[ ~]?)*{_FAMILY_HEAD}|{_CAPITAL}{_LETTER}+,[ ~]{_CAPITAL}{_LETTER}"
     mail = r"@[\w-]+\.|[\[( ]at[\]) ] ?[\w-]+ ?[\[( ]?(?:dot|\.)"
     phone = r"\+\d|\(\d{2,5}\) ?\d{3}|\b0\d{1,4}[ ./~-]\d|\b\d{2,4}[./ ~-]\d{2,4}[./ ~-]\d{2,5}|\b\d{10,13}\b"
     ident = r"\b\d{3}[- ~]\d\d[- ~]\d{4}\b|\d{4}-\d{4}-\d{4}-|\b[A-Z]{1,2}\d{6,9}\b|\b\d{6}-\d{4}\b"
     street = rf"\d,? (?:[A-Z][\w.'-]* ){{1,3}}(?:{STREETS})|\d,? (?:{FRENCH}) |O\.? ?Box \d|(?:{GERMAN}) \d|(?:{ROMANCE}) "
-    return f"{names}|{cues}|{mail}|{phone}|{ident}|{street}"
+    return f"{names}|{mail}|{phone}|{ident}|{street}"
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """Segments (begin, end, kind) the grammars propose, with shorter and longer alternatives."""
     out: set[tuple[int, int, str]] = set()
     for kind, grammar in GRAMMARS:
+        if kind == "email" and not _MAIL.search(text):
+            continue
         for m in grammar.finditer(text):
             a, b = m.span(1) if grammar.groups else m.span()
             if b - a > LONGEST:
@@ -129,14 +146,20 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     return sorted(out)
 
 
+@lru_cache(4096)
+def _lead(before: str) -> tuple[str, tuple[str, ...]]:
+    """The word before a segment, none after a stop, and the cues that lead to it."""
+    words = re.findall(r"[^\W\d_]+", before[-25:])
+    last = words[-1].lower() if words and not re.search(r"[.;:]\s*$", before) else ""
+    return last, tuple(c for c, p in CUES if p.search(before))
+
+
 def features(text: str, a: int, b: int, kind: str) -> list[str]:
     """Whole-span features of a segment and its surroundings."""
     span = text[a:b]
     before = text[max(0, a - 40) : a]
-    words = re.findall(r"[^\W\d_]+", before[-25:])
-    last = words[-1].lower() if words and not re.search(r"[.;:]\s*$", before) else ""
+    last, cues = _lead(before)
     out = [kind, f"{kind}|before {before[-1:]}", f"{kind}|after {text[b : b + 1]}", f"{kind}|word {last}"]
-    cues = [c for c, p in CUES if p.search(before)]
     out += [f"{kind}|cue {c}" for c in cues] or [f"{kind}|no cue"]
     if kind == "email":
         end = re.split(r"[^\w]+", span)[-1]
@@ -175,9 +198,15 @@ def features(text: str, a: int, b: int, kind: str) -> list[str]:
         order = "swapped" if swapped else "plain"
         out += [f"name|{order} given {known}", f"name|family given {family.casefold() in _given}", f"name|{order}"]
         out += [f"name|thing {family.lower() in _things or re.match(r'[ ~]*([A-Za-z]+)?', text[b : b + 14])[1] is not None and re.match(r'[ ~]*([A-Za-z]+)?', text[b : b + 14])[1].lower() in _things}"]
+        around = len(_GERMAN_WORDS.findall(text[max(0, a - 80) : a])) + len(_GERMAN_WORDS.findall(text[b : b + 80]))
+        out += [f"name|german {min(around, 3)} given {known}", f"name|german {around > 0} given {known} cue {'person' in cues}"]
+        out += [f"name|particle {p} given {known} cue {'person' in cues}" for p in bits if p in ("der", "von", "den")]
+        follows = re.sub(r"[^\W\d_a-z]", "A", re.sub(r"[a-zß-öø-ÿ]", "a", text[b : b + 2]))
+        out += [f"name|given {known} follows {follows}", f"name|german {around > 0} given {known} follows {follows}"]
+        out += [f"name|capital {span[0].isupper()}", f"name|given {known} starts {before[-1:] in ('', chr(10))}"]
         out += [f"name|opener {head.lower() in _openers}", f"name|capitals {span.upper() == span}", f"name|n {len(full)}"]
         out += [f"name|cut {text[b : b + 1] == '-' and text[b + 1 : b + 2].isalpha()}", f"name|double {text[b : b + 2] == '--'}"]
-        out += [f"name|given {known} cue {'person' in cues}", f"name|suffix {family.lower()[-3:]}"]
+        out += [f"name|given {known} cue {'person' in cues}"]
         out += [f"name|{order} given {known} after initial"] if re.search(r"[^\W\d_]\.[ ~]?$", before) else []
         out += [f"name|{order} before point"] if text[b : b + 1] == "." and text[b + 1 : b + 3].strip().isalpha() else []
         out += ["name|line break"] if "\n" in span else []
@@ -285,7 +314,8 @@ def _regions(texts: pa.Array, pattern: str) -> Iterator[tuple[int, str]]:
     cuts = cuts[(cuts > 0) & (cuts <= len(data))]
     cuts = np.append(0, cuts).astype(np.int32)
     lines = pa.Array.from_buffers(pa.string(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(data)])
-    hits = np.flatnonzero(pc.match_substring_regex(lines, pattern).to_numpy(zero_copy_only=False))
+    match = lambda p: pc.match_substring_regex(lines, p).to_numpy(zero_copy_only=False)
+    hits = np.flatnonzero(match(pattern) | match(NAME_ENDS) & np.append(match(NAME_GOES_ON)[1:], False))
     if not len(hits):
         return
     owner = np.searchsorted(ends, cuts[:-1], side="right") - 1

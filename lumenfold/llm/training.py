@@ -13,6 +13,12 @@ from lumenfold.llm.personal import GIVEN
 
 PER_TEMPLATE = 14
 
+# Given names that are not in the list of ``personal``, so that the field learns names from
+# their surroundings; the tests hold out others.
+UNLISTED = """Xavier Nkechi Thandiwe Yevgeny Bartłomiej Siobhan Raúl Minh Phuong Ngozi Oluwaseun Tadashi Haruki Jiho Seojun
+Milica Dragan Zdeněk Radka Ilse Wolfgang Aino Väinö Gökhan Merve Farhad Shirin Rakesh Lakshmi Anil Suresh Mihai Ioana
+Csaba Zsófia Kwabena Abena Tunde Lwazi Étienne Jin""".split()
+UNLISTED_SHARE = 0.4
 _HEADS = "Bar Cal Dor Fal Gren Hol Jan Kor Lin Mor Nor Pet Quin Ros Sten Tor Var Wal Zan Brö Mül Hers Lund Ek".split()
 _TAILS = "berg son ova ini mann etti quist sen wood ric ski ell ander ley dahl ström feld inen aard ovsky".split()
 _TOWNS = ["Ashford", "Neustadt", "Port Hallow", "Saint-Brieux", "Lunden-Ost", "Grünau", "Mill Valley", "Orsova", "Westhaven", "Belmont"]
@@ -51,6 +57,7 @@ Errata: <email>
 % Tel.: <phone>
 % consent form: <name>, <label> <id_number>
 % <name>: is this right? ask <given>
+% <name>: is this right? ask <name>
 One respondent gave <label> <id_number> in the free-text field.
 Contributor record: <name>; <label> <id_number>.
 <name> (<label> <id_number>) wrote the code.
@@ -104,8 +111,40 @@ Checked out at commit <seven> on 12 May <four>.
 12345678901234567890
 The <town> Institute and the <town> University met in <town> on 12 May <four>.
 <given> kindly read the draft, and so did <given>.
+\\title{<title> <title> for <title> <title>}
+\\section{<title> <title> and <title>}
+The <title> <title> of the <town> site. See <title> <title>, <title> and <title> <title>.
+<noun> <noun> wird numerisch bestimmt. Die <noun> <noun> zeigt der <noun> eine <noun> <noun>.
+<noun> der <noun> mit <noun> <noun> für <noun>. Das <noun> <noun> bei <noun> von <noun> <noun>
+Mit <noun> und <noun> <noun> ist die <noun>, <noun> und <noun> <noun>, gleich. Für <noun> <noun> schwach.
+Langsam <noun> <noun> nicht <noun> durch <noun> <noun> deutlich <noun> <noun> <noun>.
+Wir danken <name> für die <noun> der <noun>, <name> und <name> für das <noun>.
+<script> <script> <script> <script>
+<script> <script> <script> und <script> <script>
+See <title> <title>, <title>, <title> <title> and <title>, <title>.
+<german>
+<german>
+<german>
+<german>
+<german>
+<german>
+<german>
+<german>
+\\section{<noun>} <german>
+$x = 1$ <german>
+<german> \\cite{key2001} <german>
+<german> $y$, <german>
+\\author{<name> \\and <name>\\thanks{<title> <title>, <town>}}
 """.strip().splitlines()
 
+_TITLES = """Sparse Dense Linear Rapid Modern General Results Discussion Field Methods Analysis Model Growth Signal Networks
+Random Matrix Structure Theory Related Work Data Availability Future Outlook Main Proof Optimal Control""".split()
+_NOUNS = """Zeitung Leistung Rechnung Wohnung Freiheit Höhe Länge Druck Strom Feld Wert Probe Kraft Stärke Fläche Spannung
+Dichte Wirkung Bewegung Geschwindigkeit Teilchen Ordnung Menge Reihe Zahl Änderung Öffnung Beispiel Verfahren Wärme""".split()
+_SMALL = """wird eine der die das von für mit bei nicht durch und ist langsam genau schnell gleich immer oft gering folgt ergibt
+besteht sehr auch nur nach aus als""".split()
+_SCRIPTS = "русский Русский язык עברית עם العربية لغة ไทย ภาษา Ελληνική γλώσσα 中文 漢字 かな हिन्दी Հայերեն ქართული".split()
+
 
 def _digits(rng: random.Random, shape: str) -> str:
     return re.sub("9", lambda _: str(rng.randrange(10)), shape)
@@ -121,16 +160,32 @@ def _given(rng: random.Random) -> str:
     return rng.choice(GIVEN)
 
 
+def _first(rng: random.Random) -> str:
+    return rng.choice(UNLISTED) if rng.random() < UNLISTED_SHARE else _given(rng)
+
+
 def _name(rng: random.Random) -> str:
     family = _family(rng) + ("-" + _family(rng) if rng.random() < 0.12 else "")
+    family = rng.choice(["van der ", "von ", "de ", "van "]) + family if rng.random() < 0.06 else family
     initial = rng.choice("ABDEKLRST") + "." if rng.random() < 0.12 else ""
     if rng.random() < 0.15:
-        return f"{family}, {_given(rng)}"
+        return f"{family}, {_first(rng)}"
     gap = rng.choice([" ", " ", " ", " ", "~", "\n"])
-    out = gap.join(x for x in (_given(rng), initial, family) if x)
+    out = gap.join(x for x in (_first(rng), initial, family) if x)
     return out.upper() if rng.random() < 0.08 else out
 
 
+def _german(rng: random.Random) -> str:
+    """Words of German prose without sense, in which only nouns and beginnings have capitals."""
+    out = ""
+    for _ in range(rng.randrange(1, 4)):
+        words = [rng.choice(rng.choice((_NOUNS, _SMALL))) for _ in range(rng.randrange(5, 13))]
+        if rng.random() < 0.4:
+            words[1:1] = [rng.choice(["der", "von", "der", "den"]), rng.choice(_NOUNS)]
+        out += words[0].capitalize() + " " + " ".join(words[1:]) + ". "
+    return out.strip()
+
+
 def _email(rng: random.Random) -> str:
     a, b = _given(rng).lower().split("-")[0], _family(rng).lower().replace("'", "")
     plain = lambda s: re.sub(r"[^a-z]", "", s) or "ab"
@@ -186,6 +241,7 @@ _FILL = {
     "family": _family, "given": _given, "town": lambda r: r.choice(_TOWNS), "initial": lambda r: r.choice("ABCDEHJKLMNPRST") + ".",
     "label": lambda r: r.choice(_LABELS), "small": lambda r: str(r.randrange(10)), "two": lambda r: _digits(r, "99"),
     "three": lambda r: _digits(r, "999"), "four": lambda r: _digits(r, r.choice(["1999", "2099", "9999"])), "five": lambda r: _digits(r, "99999"),
+    "german": _german, "title": lambda r: r.choice(_TITLES), "noun": lambda r: r.choice(_NOUNS), "script": lambda r: r.choice(_SCRIPTS),
     "seven": lambda r: _digits(r, "9999999"),
 }
 

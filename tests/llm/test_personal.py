@@ -2,7 +2,10 @@
 
 import itertools
 
+import pyarrow as pa
+
 from lumenfold.llm import personal as P
+from lumenfold.llm import training
 from lumenfold.llm.training import examples
 
 TEXT = (
@@ -63,3 +66,29 @@ def test_redaction_keeps_the_rest(spark):
     for kind, found in sorted(FOUND, key=lambda x: -len(x[1])):
         want = want.replace(found, f"[{kind.upper()}]")
     assert out == {1: want, 2: None, 3: ""}
+
+
+HELD_OUT = "Xiaoming Wojciech Oleksandr Thabo Sunita Gergely Katarzyna Hyunwoo Ayodele Rosalind Tiago Parisa Eero Nikolaos".split()
+
+
+def regions(text):
+    return [r for _, r in P._regions(pa.array([text]), P.anchor_pattern())]
+
+
+def test_names_need_no_list(monkeypatch):
+    weights = dict(P.trained_weights())
+    assert not {h.casefold() for h in HELD_OUT} & ({g.casefold() for g in P.GIVEN} | {g.casefold() for g in training.UNLISTED})
+    for text in ("\\author{Xiaoming Zhang \\and Wojciech Nowak}\n", "We are grateful to Xiaoming Zhang for the probe.\n", "x\n\nthe flow of Thabo\nMokoena is slow\n"):
+        assert any("Xiaoming Zhang" in r or "Thabo\nMokoena" in r for r in regions(text))
+    found = {text[a:b] for text in regions("\\author{Xiaoming Zhang \\and Wojciech Nowak}\n") for a, b, _ in P.best_segments(text, weights)}
+    assert found == {"Xiaoming Zhang", "Wojciech Nowak"}
+    monkeypatch.setattr(training, "UNLISTED", HELD_OUT)
+    monkeypatch.setattr(training, "UNLISTED_SHARE", 1.0)
+    hit = wrong = missed = 0
+    for text, gold in examples(per_template=8, seed=815):
+        names = {g for g in gold if g[2] == "name"}
+        got = {g for r in regions(text) for g in P.best_segments(r, weights) if g[2] == "name"} if regions(text) == [text] else set()
+        hit, wrong, missed = hit + len(got & names), wrong + len(got - names), missed + len(names - got)
+    assert hit / (hit + missed) > 0.93 and hit / (hit + wrong) > 0.96
+    prose = "Die Temperatur Verteilung wird von der Lösung bestimmt. Velden Acad. und Tarn Lett. zeigt die Messung Kopplung.\n"
+    assert P.best_segments(prose, weights) == []
