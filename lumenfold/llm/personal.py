@@ -1,6 +1,6 @@
 """Personal information inside free text (problem 8): a semi-Markov conditional random field.
 
-Each line that may hold an item is found by one finite automaton over all lines of an Arrow batch.
+Each line that may hold an item is found by finite automata over all lines of an Arrow batch.
 In such a line (with its neighbours) broad grammars propose candidate segments of five types, with
 alternatives of boundary and type that overlap. Whole-span features score each segment, and
 bounded-entity dynamic programming picks the best set of segments that do not overlap: boundaries
@@ -55,7 +55,7 @@ STREETS = "Street|St\\.|Avenue|Ave\\.?|Lane|Road|Rd\\.|Drive|Boulevard|Blvd|Way|
 GERMAN = "stra(?:ß|ss)e|str\\.|gasse|weg|platz|allee|ring|damm|ufer"
 ROMANCE = "Calle|Avenida|Plaza|Paseo|Rua|Via|Viale|Piazza|Largo"
 FRENCH = "rue|avenue|boulevard|place|chemin|quai|allée|impasse"
-
+UNITS = "Apt|Suite|Unit|Flat|Room|Rm|App|Bldg"
 # Words of German prose, in which every noun has a capital.
 _GERMAN_WORDS = re.compile(r"(?i)\b(?:der|die|das|den|dem|und|ist|sind|wird|eine?|für|mit|von|bei|durch|nicht|auf|zur?|im|als|wie|aus|nach|sich|werden|wurde)\b")
 
@@ -68,13 +68,13 @@ _TOWN = rf"[^\W\d_a-z]{_WORD}+(?:[- ~][^\W\d_a-z]{_WORD}+){{0,2}}"
 _ZIP = r"(?:[A-Z]{1,2}-?)?\d{4,6}"
 _UK = r"[A-Z]{1,2}\d{1,2}[A-Z]? \d[A-Z]{2}"
 _HOUSE = (
-    rf"(?:\d{{1,4}}[a-z]?,? (?:[^\W\d_a-z][\w.'-]*[ ~]){{1,3}}(?:{STREETS})(?!\w)"
-    rf"|\d{{1,4}}[a-z]?,? (?:{FRENCH}) [\w' -]{{2,40}}?"
-    rf"|P\.? ?O\.? ?Box \d{{1,6}}"
-    rf"|{_WORD}*(?:{GERMAN}) \d{{1,4}}[a-z]?"
-    rf"|(?:{ROMANCE}) [\w' ]{{2,40}}? \d{{1,4}}[a-z]?)"
+    rf"(?:\d{{1,4}}[a-z]?,?[ ~](?:[^\W\d_a-z][\w.'-]*[ ~]){{1,3}}(?:{STREETS})(?!\w)"
+    rf"|\d{{1,4}}[a-z]?,?[ ~](?:{FRENCH})[ ~][\w' ~-]{{2,40}}?"
+    rf"|P\.? ?O\.? ?Box[ ~]\d{{1,6}}"
+    rf"|{_WORD}*(?:{GERMAN})[ ~]\d{{1,4}}[a-z]?"
+    rf"|(?:{ROMANCE})[ ~][\w' ~]{{2,40}}?[ ~]\d{{1,4}}[a-z]?)"
 )
-_UNIT = r"(?:\s*,\s*(?:Apt|Suite|Unit|Flat|Room|Rm|App|Bldg)\.?[ ~]?\w{1,6})?"
+_UNIT = rf"(?:\s*,\s*(?:{UNITS})\.?[ ~]?\w{{1,6}})?"
 _DOT = r"(?:\.| ?\(dot\) ?| ?\[dot\] ?| dot )"
 _AT = r"(?:\\?@| ?\[at\] ?| ?\(at\) ?| at )"
 _LOCAL = rf"(?:\\?\{{[\w.+, -]+\\?\}}|\w(?:[\w.+-]|\\_)*(?: dot \w+)*)"
@@ -111,17 +111,32 @@ _FAMILY_HEAD = rf"(?:(?:van|von|de|der|den|da|di|del)[ ~])*(?:O'|Mc|Mac)?{_CAPIT
 NAME_ENDS, NAME_GOES_ON = rf"(?:{_CAPITAL}{_LETTER}+,?|{_INITIAL}) ?\r?\n\z", rf"\A ?(?:{_INITIAL}|{_FAMILY_HEAD})"
 
 
-def anchor_pattern() -> str:
-    """RE2 pattern of lines that may hold an item; it decides only where the field looks.
+def address_pattern() -> str:
+    """The part of ``anchor_patterns`` for lines with a house or unit, after which an address may go on."""
+    digit = r"\p{Nd}"
+    house = (
+        rf"{digit}[a-z]?,?[ ~](?:(?:[^\P{{L}}a-z]|\p{{Nl}}|\p{{No}})[\p{{L}}\p{{N}}_.'-]*[ ~]){{1,3}}(?:{STREETS})|{digit}[a-z]?,?[ ~](?:{FRENCH})[ ~]"
+        rf"|P\.? ?O\.? ?Box[ ~]{digit}|(?:{GERMAN})[ ~]{digit}|(?:{ROMANCE})[ ~]"
+    )
+    return rf"{house}|\A[\s\p{{Z}},]*(?:{UNITS})\.?[ ~]?[\p{{L}}\p{{N}}_]"
+
 
-    Names need no list: any pair of capitalised words is looked at.
+def anchor_patterns() -> tuple[str, ...]:
+    """RE2 patterns of lines that may hold an item; they decide only where the field looks.
+
+    Each part is what every match of a grammar holds in its first line, so that no candidate is
+    left out. One automaton for all would have too many states. Names need no list: any pair of capitalised words is looked at.
     """
+    digit = r"\p{Nd}"
     names = rf"{_CAPITAL}{_LETTER}+(?:-{_CAPITAL}{_LETTER}+)?[ ~](?:{_INITIAL}[ ~]?)*{_FAMILY_HEAD}|{_CAPITAL}{_LETTER}+,[ ~]{_CAPITAL}{_LETTER}"
-    mail = r"@[\w-]+\.|[\[( ]at[\]) ] ?[\w-]+ ?[\[( ]?(?:dot|\.)"
-    phone = r"\+\d|\(\d{2,5}\) ?\d{3}|\b0\d{1,4}[ ./~-]\d|\b\d{2,4}[./ ~-]\d{2,4}[./ ~-]\d{2,5}|\b\d{10,13}\b"
-    ident = r"\b\d{3}[- ~]\d\d[- ~]\d{4}\b|\d{4}-\d{4}-\d{4}-|\b[A-Z]{1,2}\d{6,9}\b|\b\d{6}-\d{4}\b"
-    street = rf"\d,? (?:[A-Z][\w.'-]* ){{1,3}}(?:{STREETS})|\d,? (?:{FRENCH}) |O\.? ?Box \d|(?:{GERMAN}) \d|(?:{ROMANCE}) "
-    return f"{names}|{mail}|{phone}|{ident}|{street}"
+    mail = rf"(?i:{_AT}[\p{{L}}\p{{N}}_-]+{_DOT}[\p{{L}}\p{{N}}_-])"
+    # phones and the numbers of persons: six digits, between them one separator at most
+    numbers = rf"{digit}(?:(?:[ ~./-]|\\,)?{digit}){{5}}"
+    return names, mail, numbers, address_pattern()
+
+
+#: Lines that may stand between the parts of an address.
+BETWEEN = r"\A[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85},\\]*\z"
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
@@ -134,6 +149,8 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
             a, b = m.span(1) if grammar.groups else m.span()
             if b - a > LONGEST:
                 continue
+            if kind in ("phone", "id_number") and not text[a:b].isascii() and len({ord(c) - int(c) for c in text[a:b] if c.isdecimal()}) > 1:
+                continue  # digits of several scripts are no number
             out.add((a, b, kind))
             if kind == "address":  # without a last word of the town
                 cut = max(text.rfind(" ", a, b), text.rfind("~", a, b))
@@ -301,8 +318,12 @@ def trained_weights() -> tuple[tuple[str, float], ...]:
     return tuple(sorted(train(examples()).items()))
 
 
-def _regions(texts: pa.Array, pattern: str) -> Iterator[tuple[int, str]]:
-    """(index of text, lines) of the lines that may hold an item, with one line on each side."""
+def _regions(texts: pa.Array, patterns: tuple[str, ...]) -> Iterator[tuple[int, str]]:
+    """(index of text, lines) of the lines that may hold an item, with one line on each side.
+
+    After a house or unit, lines that are blank or hold but commas and line commands do not count as
+    that line: the address may go on after them.
+    """
     texts = texts.fill_null("").cast(pa.large_string())
     ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = memoryview(texts.buffers()[2] or b"")[ends[0] : ends[-1]]
@@ -315,15 +336,17 @@ def _regions(texts: pa.Array, pattern: str) -> Iterator[tuple[int, str]]:
     cuts = np.append(0, cuts).astype(np.int32)
     lines = pa.Array.from_buffers(pa.string(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(data)])
     match = lambda p: pc.match_substring_regex(lines, p).to_numpy(zero_copy_only=False)
-    hits = np.flatnonzero(match(pattern) | match(NAME_ENDS) & np.append(match(NAME_GOES_ON)[1:], False))
+    hits = np.flatnonzero(np.logical_or.reduce([match(p) for p in patterns]) | match(NAME_ENDS) & np.append(match(NAME_GOES_ON)[1:], False))
     if not len(hits):
         return
     owner = np.searchsorted(ends, cuts[:-1], side="right") - 1
+    full = np.append(np.flatnonzero(~match(BETWEEN)), len(owner))
+    after = np.where(match(address_pattern())[hits], full[np.searchsorted(full, hits, side="right").clip(max=len(full) - 1)], hits + 1)
     begin, stop = -1, -1
     spans = []
-    for h in hits.tolist():
+    for h, b in zip(hits.tolist(), after.tolist()):
         a = h - 1 if h and owner[h - 1] == owner[h] else h
-        b = h + 1 if h + 1 < len(owner) and owner[h + 1] == owner[h] else h
+        b = b if b < len(owner) and owner[b] == owner[h] else h + 1 if h + 1 < len(owner) and owner[h + 1] == owner[h] else h
         if begin >= 0 and a <= stop and owner[a] == owner[begin]:
             stop = max(stop, b)
         else:
@@ -337,11 +360,11 @@ def _regions(texts: pa.Array, pattern: str) -> Iterator[tuple[int, str]]:
 
 def _finder(weights: dict[str, float]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pattern = anchor_pattern()
+        patterns = anchor_patterns()
         for batch in batches:
             for part in parts(batch, "text"):
                 seen: dict[tuple[int, str, str], None] = {}
-                for i, region in _regions(part.column("text"), pattern):
+                for i, region in _regions(part.column("text"), patterns):
                     for a, b, kind in best_segments(region, weights):
                         seen[i, kind, region[a:b]] = None
                 rows = np.array([k[0] for k in seen], np.int64)
@@ -363,13 +386,13 @@ def find_items(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def _redactor(weights: dict[str, float], placeholders: dict[str, str]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pattern = anchor_pattern()
+        patterns = anchor_patterns()
         for batch in batches:
             for part in parts(batch, "text"):
                 column = part.column("text")
                 texts = column.to_pylist()
                 items: dict[int, list[tuple[str, str]]] = {}
-                for i, region in _regions(column, pattern):
+                for i, region in _regions(column, patterns):
                     items.setdefault(i, []).append((region, "".join(_replaced(region, weights, placeholders))))
                 for i, changes in items.items():
                     out, at = [], 0

@@ -1,6 +1,7 @@
 """Held-out accuracy of the field, its decoding, and the operators on a small table."""
 
 import itertools
+import random
 
 import pyarrow as pa
 
@@ -72,7 +73,7 @@ HELD_OUT = "Xiaoming Wojciech Oleksandr Thabo Sunita Gergely Katarzyna Hyunwoo A
 
 
 def regions(text):
-    return [r for _, r in P._regions(pa.array([text]), P.anchor_pattern())]
+    return [r for _, r in P._regions(pa.array([text]), P.anchor_patterns())]
 
 
 def test_names_need_no_list(monkeypatch):
@@ -85,10 +86,38 @@ def test_names_need_no_list(monkeypatch):
     monkeypatch.setattr(training, "UNLISTED", HELD_OUT)
     monkeypatch.setattr(training, "UNLISTED_SHARE", 1.0)
     hit = wrong = missed = 0
-    for text, gold in examples(per_template=8, seed=815):
+    made = examples(per_template=8, seed=815)
+    whole = set(P._regions(pa.array([t for t, _ in made]), P.anchor_patterns()))
+    for i, (text, gold) in enumerate(made):
         names = {g for g in gold if g[2] == "name"}
-        got = {g for r in regions(text) for g in P.best_segments(r, weights) if g[2] == "name"} if regions(text) == [text] else set()
+        assert not names or (i, text) in whole
+        got = {g for g in P.best_segments(text, weights) if g[2] == "name"} if (i, text) in whole else set()
         hit, wrong, missed = hit + len(got & names), wrong + len(got - names), missed + len(names - got)
     assert hit / (hit + missed) > 0.93 and hit / (hit + wrong) > 0.96
     prose = "Die Temperatur Verteilung wird von der Lösung bestimmt. Velden Acad. und Tarn Lett. zeigt die Messung Kopplung.\n"
     assert P.best_segments(prose, weights) == []
+
+
+MISSED = ["passport no. 123456789", "social security no. 123456789", "Phone 555-1234", "call 1234567", "tel 12345 67890", "call 030\\,1234567",
+          "jd (AT) lab (DOT) edu", "jd@bücher.example", "Uferstraße~12, 10115 Berlin"]
+PIECES = [*MISSED, " ", " ", " ", "\n", "\n", "\r\n", "\r", "\n\n \n", "~", ",", ", ", "\\\\", ".", "-", "12", "٣٤٥", "Łucja", "Xiaoming", "Zhang", "J.", "É.", "van ", "O'Neil", "word",
+          "at ", " AT ", "@", "[at]", "(dot)", "dot ", "lab.edu", "{a,b}", "3 Old Main Street", "7, rue du Pont", "P.O. Box 7", "Gartenweg 3", "Via Roma 12",
+          "Apt 4", "Room~B", "Oxford", "OX1 2ZZ", "10115 Berlin", "555", "1234567", "QK1234567", "+49", "(030)", "ext. 5", "\u2003", "\x0b", "\u3000", "中文", "ǆ"]
+
+
+def test_anchor_leaves_out_no_candidate():
+    for text in MISSED:
+        assert P.candidates(text) and regions(text) == [text], text
+    for text in ("12 Main Street\n\n \n10115 Berlin", "12 Main Street\n\\\\\nOxford", "12 Main Street\n,\nApt 4\n,\nOxford", "Xiaoming\nJ.\nZhang", "Zhang,\nXiaoming"):
+        assert any(b - a > len(text) - 2 for a, b, _ in P.candidates(text)) and regions("x\n" + text + "\nx")
+        assert any(text in r for r in regions("x\n\n" + text + "\nx"))
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(PIECES) for _ in range(rng.randrange(2, 25))) for _ in range(4000)]
+    spans = [[] for _ in texts]
+    for i, r in P._regions(pa.array(texts), P.anchor_patterns()):
+        at = texts[i].index(r, spans[i][-1][1] if spans[i] else 0)
+        spans[i].append((at, at + len(r)))
+    found = [(i, c) for i, text in enumerate(texts) for c in P.candidates(text)]
+    assert len(found) > 4000
+    for i, (a, b, kind) in found:
+        assert any(x <= a and b <= y for x, y in spans[i]), (kind, texts[i][a:b], texts[i])
