@@ -9,10 +9,11 @@ verified exactly. Accepted content is appended as a further sorted run, and runs
 they become many, so a batch never rebuilds the history.
 
 Pieces found in very many sets (found when the index is built) come last in every permutation, or
-they would put a third of all sets under one prefix. A pair that shares nothing but such pieces
-can then only be two sets in which they are at least half; these few sets also get exact prefix
-entries (the prefix filter of set-similarity joins), which miss no pair: that is the exact way for
-what the trees leave out, and nothing is capped.
+they would put a third of all sets under one prefix. A pair that shares several such pieces may have
+few others in common, and one that shares nothing else has none. All sets with two or more such
+pieces, and those so small that one is enough, also get exact prefix entries (the prefix filter of
+set-similarity joins, rare pieces first), which miss no pair: that is the exact way for what the
+trees leave out, and nothing is capped.
 """
 
 from __future__ import annotations
@@ -44,7 +45,8 @@ class ForestConfig:
         """The least similarity of the rare pieces of a pair at the threshold, sharing at least one.
 
         With h shared hot pieces left out of both sides the share o/u falls to (o-h)/(u-h); with
-        one hot piece, o >= 2 and o/u >= t it is no less than 1/(2/t - 1).
+        one hot piece, o >= 2 and o/u >= t it is no less than 1/(2/t - 1). Pairs that share more
+        hot pieces, or but one piece, have exact entries (see ``labels``).
         """
         return 1 / (2 / self.threshold - 1)
 
@@ -100,7 +102,7 @@ class HashForest:
         return rank
 
     def labels(self, classes: DataFrame) -> DataFrame:
-        """(tree, label, class, pieces): one entry a tree, and exact entries of hot-dominated sets."""
+        """(tree, label, class, pieces): one entry a tree, and exact entries of sets that may share more than one hot piece, or only one."""
         cfg = self.config
         sets = classes.where("pieces is not null").select("class", "pieces")
         k = cfg.prefix()
@@ -117,8 +119,9 @@ class HashForest:
         n = F.size("pieces")
         ordered = F.concat(F.array_except("pieces", hot), F.array_intersect(hot, "pieces"))
         length = n - F.ceil(n * cfg.threshold).cast("int") + 1
-        dominated = sets.where(F.size(F.array_intersect("pieces", hot)) * 2 >= n)
-        exact = dominated.select("class", "pieces", F.lit(-1).alias("tree"), F.explode(F.slice(ordered, F.lit(1), length)).alias("label"))
+        n_hot = F.size(F.array_intersect("pieces", hot))
+        several = sets.where((n_hot >= 2) | (n_hot == 1) & (n * cfg.threshold <= 1))
+        exact = several.select("class", "pieces", F.lit(-1).alias("tree"), F.explode(F.slice(ordered, F.lit(1), length)).alias("label"))
         return forest.unionByName(exact)
 
     # -- history --------------------------------------------------------------------------

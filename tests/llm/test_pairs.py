@@ -95,6 +95,22 @@ def test_forest_batch_by_batch_equals_one_call(spark):
     assert sorted(steps) == sorted(tuple(r) for r in once) and len(forest.runs) <= 2
 
 
+def test_forest_contained_sets_with_several_hot_pieces(spark):
+    # the library's sets are hot but for one piece and contained in the batch's, which are just under half hot
+    rng = random.Random(12)
+    library, batch = [], []
+    for i in range(240):
+        h = (3, 5, 7, 9)[i % 4]
+        rare = [rng.randrange(100, 10**9) for _ in range(h + 2)]  # 2 (h + 1) pieces in all
+        library.append((i, None, None, [*range(h), rare[0]]))
+        batch.append((1000 + i, None, None, [*range(h), *rare]))
+    lib = spark.createDataFrame([(i, 1, d, s, p, T0) for i, d, s, p in library], LIB)
+    new = spark.createDataFrame([(i, 1, T0, 1, d, s, p) for i, d, s, p in batch], NEW)
+    got = [tuple(r) for r in batch_matches(lib, new, ForestConfig(hot_least=20)).collect()]
+    want = brute(library, batch)
+    assert len(got) == len(set(got)) and set(got) == want and {(i, 1000 + i) for i in range(240)} <= want
+
+
 def test_forest_empty_tables(spark):
     lib, new = spark.createDataFrame([], LIB), spark.createDataFrame([], NEW)
     assert batch_matches(lib, new).count() == 0
