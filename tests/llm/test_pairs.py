@@ -1,11 +1,13 @@
 """Representatives, nearest times and the hash forest against brute force."""
 
 import datetime as dt
+import pathlib
 import random
 
+import numpy as np
 import pytest
 
-from lumenfold.llm.forest import ForestConfig, HashForest, batch_matches
+from lumenfold.llm.forest import ForestConfig, HashForest, batch_matches, content_classes, forest_labels
 from lumenfold.llm.nearest import nearest_in_time
 from lumenfold.llm.representatives import planning_representatives
 from lumenfold.session import scratch_path
@@ -65,9 +67,9 @@ def brute(library, batches):
     return out
 
 
-@pytest.mark.parametrize("hot_least", [5, 10**6])
-def test_forest_brute_force(spark, hot_least):
-    rng = random.Random(hot_least)
+@pytest.mark.parametrize("common", [5, 10**6])
+def test_forest_brute_force(spark, common):
+    rng = random.Random(common)
     pool = [[rng.randrange(10**9) for _ in range(rng.randrange(2, 9))] for _ in range(60)]
     library = [(i, *f) for i, f in enumerate(files(rng, 250, pool))]
     batch = [(1000 + i, *f) for i, f in enumerate(files(rng, 250, pool))]
@@ -76,7 +78,7 @@ def test_forest_brute_force(spark, hot_least):
     new = spark.createDataFrame([(i, number(i), T0, 1, d, s, p) for i, d, s, p in batch], NEW)
     # delivered again later: the first batch counts; rows without an id say nothing
     again = spark.createDataFrame([(1000, 3, T0, 1, None, None, [1, 2, 3]), (None, 1, T0, 1, None, None, None)], NEW)
-    got = [tuple(r) for r in batch_matches(lib, new.unionByName(again), ForestConfig(hot_least=hot_least, hot_share=0.01)).collect()]
+    got = [tuple(r) for r in batch_matches(lib, new.unionByName(again), ForestConfig(common=common, fanout=2)).collect()]
     assert len(got) == len(set(got))
     assert set(got) == brute(library, batch)
 
@@ -87,16 +89,24 @@ def test_forest_batch_by_batch_equals_one_call(spark):
     row = lambda i, f: (i, None, [p for p in f[2] or [] if p is not None] or None)
     schema = "id long, digest string, pieces array<long>"
     lib = [row(i, f) for i, f in enumerate(files(rng, 40, pool))]
-    new = [row(100 + i, f) for i, f in enumerate(files(rng, 60, pool))]
+    new = [row(100 + i, f) for i, f in enumerate(files(rng, 80, pool))]
     df = lambda rows: spark.createDataFrame(rows, schema)
-    forest = HashForest(spark, scratch_path(spark, "t"), ForestConfig(fanout=1)).build(df(lib))
-    steps = [tuple(r) for a in range(0, 60, 20) for r in forest.check(df(new[a : a + 20])).collect()]
+    folder = scratch_path(spark, "t")
+    HashForest(spark, folder, ForestConfig(fanout=2)).build(df(lib))
+    steps = []
+    for a in range(0, 80, 20):
+        forest = HashForest.open(spark, folder)  # a later session goes on with what is stored
+        steps += [tuple(r) for r in forest.check(df(new[a : a + 20])).collect()]
+        levels = [r["level"] for r in forest.runs]
+        assert len(set(levels)) == len(levels)  # two of one level are merged
+    stored = {p.name for p in pathlib.Path(folder.removeprefix("file:")).glob("run-*")}
+    assert stored == {r["name"] for r in forest.runs}  # what was merged is deleted
     once = HashForest(spark, scratch_path(spark, "t")).build(df(lib)).check(df(new)).collect()
-    assert sorted(steps) == sorted(tuple(r) for r in once) and len(forest.runs) <= 2
+    assert sorted(steps) == sorted(tuple(r) for r in once)
 
 
-def test_forest_contained_sets_with_several_hot_pieces(spark):
-    # the library's sets are hot but for one piece and contained in the batch's, which are just under half hot
+def test_forest_contained_sets_with_several_common_pieces(spark):
+    # the library's sets are common but for one piece and contained in the batch's, which are just under half common
     rng = random.Random(12)
     library, batch = [], []
     for i in range(240):
@@ -106,11 +116,50 @@ def test_forest_contained_sets_with_several_hot_pieces(spark):
         batch.append((1000 + i, None, None, [*range(h), *rare]))
     lib = spark.createDataFrame([(i, 1, d, s, p, T0) for i, d, s, p in library], LIB)
     new = spark.createDataFrame([(i, 1, T0, 1, d, s, p) for i, d, s, p in batch], NEW)
-    got = [tuple(r) for r in batch_matches(lib, new, ForestConfig(hot_least=20)).collect()]
+    got = [tuple(r) for r in batch_matches(lib, new, ForestConfig(common=20)).collect()]
     want = brute(library, batch)
     assert len(got) == len(set(got)) and set(got) == want and {(i, 1000 + i) for i in range(240)} <= want
 
 
+@pytest.mark.parametrize("sizes", [(1, 2, 3, 4), (5, 9, 13, 24), (13, 20, 25, 40)])
+def test_forest_sets_of_common_pieces_alone(spark, sizes):
+    # all pieces come from a pool of which each is common
+    rng = random.Random(sizes[0])
+    pool = [rng.randrange(10**12) for _ in range(12 * sizes[-1])]
+    bases = [rng.sample(pool, rng.choice(sizes)) for _ in range(150)]
+    change = lambda b: sorted({p if rng.random() < 0.85 else rng.choice(pool) for p in b})
+    library = [(i, None, None, change(rng.choice(bases))) for i in range(400)]
+    batch = [(1000 + i, None, None, change(rng.choice(bases))) for i in range(200)]
+    lib = spark.createDataFrame([(i, 1, d, s, p, T0) for i, d, s, p in library], LIB)
+    new = spark.createDataFrame([(i, 1, T0, 1, d, s, p) for i, d, s, p in batch], NEW)
+    got = {tuple(r) for r in batch_matches(lib, new, ForestConfig(common=0)).collect()}
+    assert got == brute(library, batch) and len(got) > 50
+
+
+def test_one_common_piece_forms_no_pairs(spark):
+    rows = [(i, None, [7, 1000 + i], 0) for i in range(600)] + [(600 + i, None, [7, *range(10**6 + 20 * i, 10**6 + 20 * i + 9)], 0) for i in range(300)] + [(900, None, [7], 0)]
+    forest = HashForest(spark, scratch_path(spark, "t"))
+    forest._write_classes("run-1", content_classes(spark.createDataFrame(rows, "id long, digest string, pieces array<long>, batch_no int")), len(rows))
+    found = forest._candidates(forest._read("run-1", "classes"), ["run-1"]).where("q != ckey").count()
+    assert found == 2 * 600  # the set of that piece alone with each of two, both ways
+
+
+@pytest.mark.parametrize("k, share", [(1, 1 / 3), (2, 1 / 3), (2, 1 / 2)])
+def test_recall_of_the_trees_is_as_expected(k, share):
+    # pairs of sets of 30 pieces with the given similarity, found by a prefix of k values in any of a few trees
+    cfg, rng = ForestConfig(), np.random.default_rng(k)
+    same = round(30 * 2 * share / (1 + share))
+    sets = rng.integers(0, 1 << 62, (4000, 30)).astype(np.uint64)
+    others = sets.copy()
+    others[:, same:] = rng.integers(0, 1 << 62, (4000, 30 - same)).astype(np.uint64)
+    offsets = np.arange(4001) * 30
+    free = 56 - sum(cfg.widths()[:k])
+    agree = (forest_labels(sets.ravel(), offsets, cfg)[1] >> free) == (forest_labels(others.ravel(), offsets, cfg)[1] >> free)
+    real = same / (60 - same)
+    for trees in (4, 10, 20):
+        assert abs(agree[:, :trees].any(1).mean() - (1 - (1 - real**k) ** trees)) < 0.03
+
+
 def test_forest_empty_tables(spark):
     lib, new = spark.createDataFrame([], LIB), spark.createDataFrame([], NEW)
     assert batch_matches(lib, new).count() == 0
@@ -119,9 +168,14 @@ def test_forest_empty_tables(spark):
 
 
 def test_recall_target_widens_the_prefix():
-    assert ForestConfig(threshold=0.95, recall=0.9).prefix() > 1
+    assert ForestConfig(threshold=0.95, recall=0.9).prefix(20) > 1
     cfg = ForestConfig()
-    assert 1 - (1 - cfg.least_common() ** cfg.prefix()) ** cfg.trees >= cfg.recall or cfg.prefix() == 1
+    assert cfg.prefix(8) == 2 and cfg.prefix(8, True) == 1  # a set with a common piece needs the wider prefix
+    for n in range(1, 200):
+        for shared in (False, True):
+            assert cfg.expected(cfg.least(n, shared), cfg.prefix(n, shared)) >= cfg.recall
+    with pytest.raises(ValueError):
+        ForestConfig(trees=8)
 
 
 PLAN = ("asset_id long, source_name string, source_priority int, absolute_path string, relative_path string, filename string, sha256 string,"
