@@ -5,10 +5,11 @@ import pathlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lumenfold.llm.forest import ForestConfig, HashForest, batch_matches, content_classes, forest_labels
-from lumenfold.llm.nearest import nearest_in_time
+from lumenfold.llm.nearest import _merged, merge_nearest, nearest_in_time
 from lumenfold.llm.representatives import planning_representatives
 from lumenfold.session import scratch_path
 
@@ -41,6 +42,25 @@ def test_nearest_edges(spark):
     assert pairs(one().limit(0), one(("e", 1, 4))) == [] and pairs(one(("e", 1, 4)), one()) == []
 
 
+def test_merge_over_batches_of_any_size():
+    # every cut of the sorted rows into Arrow batches gives the same pairs, and little is held
+    rng = random.Random(3)
+    rows = sorted((rng.choice("ab"), 0, rng.randrange(0, 400), rng.randrange(2), i) for i in range(500))
+    rows += [("c", 0, 10 * i, 1, 1000 + i) for i in range(500)] + [("d", 0, 7, 0, 1), ("d", 0, 7, 0, 2), ("d", 0, 8, 1, 3)]
+    table = pa.table({c: pa.array([r[k] for r in rows]) for k, c in enumerate(("entity", "cell", "at", "side", "id"))})
+    want = None
+    for size in (len(rows), 1, 2, 7, 100):
+        out = list(merge_nearest(table.to_batches(size), 5))
+        got = sorted((a, b) for r in out for a, b in zip(*(r.column(k).to_pylist() for k in range(2))))
+        want = want or got
+        assert got == want and (3, 1) in got
+    held = None
+    for k in range(0, 500, 50):  # left records alone: only those the tolerance still reaches wait
+        part = table.slice(500 + k, 50).combine_chunks().to_batches()[0]
+        held = _merged(part if held is None else pa.Table.from_batches([held, part]).combine_chunks().to_batches()[0], 30, False)[0]
+        assert held.num_rows <= 4
+
+
 LIB = "asset_id long, size_bytes long, sha256 string, hash_status string, chunk_sums array<long>, indexed_at timestamp_ntz"
 NEW = "asset_id long, batch_no int, delivered_at timestamp_ntz, size_bytes long, sha256 string, hash_status string, chunk_sums array<long>"
 T0 = dt.datetime(2024, 1, 1)
