@@ -12,7 +12,7 @@ from lumenfold.llm.nearest import live_pairs
 from lumenfold.llm.personal import find_items, redact
 from lumenfold.llm.representatives import planning_representatives
 from lumenfold.llm.tokens import encode_texts
-from lumenfold.sources.tables import spread, table
+from lumenfold.sources.tables import table
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,23 +28,23 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
-    return encode_texts(spread(table(spark, folder, "documents"), "doc_id", "text"), "text", "ids")
+    return encode_texts(table(spark, folder, "documents"), "text", "ids")
 
 
 def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
-    return mix_sources(spread(table(spark, folder, "documents"), "doc_id", "source", "text"), table(spark, folder, "mix_targets"))[0]
+    return mix_sources(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[0]
 
 
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
-    return mix_sources(spread(table(spark, folder, "documents"), "doc_id", "source", "text"), table(spark, folder, "mix_targets"))[1]
+    return mix_sources(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    return find_items(spread(table(spark, folder, "documents"), "doc_id", "text"), "doc_id", "text")
+    return find_items(table(spark, folder, "documents"), "doc_id", "text")
 
 
 def p8_redacted(spark: SparkSession, folder: str) -> DataFrame:
-    return redact(spread(table(spark, folder, "documents"), "doc_id", "text"), "doc_id", "text")
+    return redact(table(spark, folder, "documents"), "doc_id", "text")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
