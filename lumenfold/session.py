@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """A local session for tests and the bench; a cluster brings its own."""
-    return (
+def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g", shared: str | None = None) -> SparkSession:
+    """A local session for tests and the bench, with ``shared`` for intermediate data; a cluster brings its own."""
+    session = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("lumenfold")
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -18,23 +19,29 @@ def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g") -> Sp
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    if shared:
+        session.sparkContext.setCheckpointDir(shared)
+    return session
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's ``spark.checkpoint.dir``.
-
-    Only where neither that setting nor a checkpoint folder exists (tests on one machine) a
-    temporary folder is made and set as the checkpoint folder.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
+    """The folder all executors share: the session's ``spark.checkpoint.dir``, else the folder set by
+    ``setCheckpointDir``. Without either only a ``local[n]`` session, which has no other machine, gets
+    a temporary folder; on a cluster that is an error, as no machine's own folder may stand in."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder and context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    folder = folder or context.getCheckpointDir()
+    if not folder and re.fullmatch(r"local(\[[^\]]*\])?", context.master):
         context.setCheckpointDir(tempfile.mkdtemp(prefix="lumenfold-"))
-    return context.getCheckpointDir().rstrip("/")
+        folder = context.getCheckpointDir()
+    if not folder:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -4,22 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Stored bytes a core below which a scan is spread over all cores.
-SPREAD_BELOW = 8 << 20
-
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """Read ``folder/name.parquet``; columns and filters are pushed into the scan by Catalyst."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
-def spread(df: DataFrame, *columns: str) -> DataFrame:
-    """Columns of a small table dealt out over all cores, as one row group is one task's work.
-
-    Decided by the stored size of the whole table: one of more than ``SPREAD_BELOW`` a core has row
-    groups enough and is left as it is, so large inputs are never shuffled for this.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    chosen = df.select(*columns) if columns else df
-    return chosen.repartition(cores) if size < SPREAD_BELOW * cores else chosen
