@@ -24,11 +24,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from lumenfold.llm.tokens import parts
+from lumenfold.llm.tokens import VOCABULARY, parts, read_vocabulary
 
 KINDS = ("email", "phone", "id_number", "address", "name")
-#: Characters an entity may have at most: the bound of the dynamic programming.
-LONGEST = 200
 
 # Common given names of several languages.
 GIVEN = """
@@ -61,7 +59,7 @@ _GERMAN_WORDS = re.compile(r"(?i)\b(?:der|die|das|den|dem|und|ist|sind|wird|eine
 
 _WORD = r"[^\W\d_]"
 _FAMILY = rf"(?:(?:van|von|de|der|den|da|di|del)[ ~])*(?:O'|Mc|Mac)?[^\W\d_a-zß-öø-ÿ]{_WORD}+(?:-(?:O')?[^\W\d_a-zß-öø-ÿ]{_WORD}+)*"
-_FIRST = rf"[^\W\d_a-zß-öø-ÿ]{_WORD}+(?:-[^\W\d_a-zß-öø-ÿ]{_WORD}+)?"
+_FIRST = rf"[^\W\d_a-zß-öø-ÿ]{_WORD}+(?:-{_WORD}{_WORD}+)?"
 _GAP = r"(?:[ ~]|[ ]?\r?\n[ ]?)"
 _SEP = r"(?:\s*,\s*|\s*\\\\\s*|\s*\r?\n\s*)"
 _TOWN = rf"[^\W\d_a-z]{_WORD}+(?:[- ~][^\W\d_a-z]{_WORD}+){{0,2}}"
@@ -69,10 +67,10 @@ _ZIP = r"(?:[A-Z]{1,2}-?)?\d{4,6}"
 _UK = r"[A-Z]{1,2}\d{1,2}[A-Z]? \d[A-Z]{2}"
 _HOUSE = (
     rf"(?:\d{{1,4}}[a-z]?,?[ ~](?:[^\W\d_a-z][\w.'-]*[ ~]){{1,3}}(?:{STREETS})(?!\w)"
-    rf"|\d{{1,4}}[a-z]?,?[ ~](?:{FRENCH})[ ~][\w' ~-]{{2,40}}?"
+    rf"|\d{{1,4}}[a-z]?,?[ ~](?:{FRENCH})[ ~][\w'-]+(?:[ ~]+[\w'-]+)*?"
     rf"|P\.? ?O\.? ?Box[ ~]\d{{1,6}}"
     rf"|{_WORD}*(?:{GERMAN})[ ~]\d{{1,4}}[a-z]?"
-    rf"|(?:{ROMANCE})[ ~][\w' ~]{{2,40}}?[ ~]\d{{1,4}}[a-z]?)"
+    rf"|(?:{ROMANCE})[ ~][\w']+(?:[ ~]+[\w']+)*?[ ~]\d{{1,4}}[a-z]?)"
 )
 _UNIT = rf"(?:\s*,\s*(?:{UNITS})\.?[ ~]?\w{{1,6}})?"
 _DOT = r"(?:\.| ?\(dot\) ?| ?\[dot\] ?| dot )"
@@ -99,7 +97,7 @@ CUES = (
     ("phone", re.compile(r"(?i)(?:tel|phone|fax|ring|mobile|call(?:ed)?|taken at)[^\w]*(?:\w+[^\w]+){0,4}$")),
     ("id", re.compile(r"(?i)(?:ssn|social|sec|passport|pass|orcid|national|identity|identifier|personal id|id|researcher|travel document|tax)[^\w]*(?:\w{1,8}[^\w]+){0,3}$")),
     ("thing", re.compile(r"(?i)(?:grant|version|runs?|report|issn|doi|accession|nr|ref|pp|eq|fig|commit)[^\w]*(?:\w+[^\w]+){0,2}$")),
-    ("person", re.compile(r"(?i)(?:thank|author|by|with|dr|prof|mail|call|form|contact|record|said|and|danken|sowie)[^\w]*$")),
+    ("person", re.compile(r"(?i)(?:thank|author|by|with|dr|prof|mail|call|form|contact|record|said|and|danken|sowie|frau|herrn?)[^\w]*$")),
 )
 
 
@@ -128,7 +126,7 @@ def anchor_patterns() -> tuple[str, ...]:
     left out. One automaton for all would have too many states. Names need no list: any pair of capitalised words is looked at.
     """
     digit = r"\p{Nd}"
-    names = rf"{_CAPITAL}{_LETTER}+(?:-{_CAPITAL}{_LETTER}+)?[ ~](?:{_INITIAL}[ ~]?)*{_FAMILY_HEAD}|{_CAPITAL}{_LETTER}+,[ ~]{_CAPITAL}{_LETTER}"
+    names = rf"{_CAPITAL}{_LETTER}+(?:-{_LETTER}{_LETTER}+)?[ ~](?:{_INITIAL}[ ~]?)*{_FAMILY_HEAD}|{_CAPITAL}{_LETTER}+,[ ~]{_CAPITAL}{_LETTER}"
     mail = rf"(?i:{_AT}[\p{{L}}\p{{N}}_-]+{_DOT}[\p{{L}}\p{{N}}_-])"
     # phones and the numbers of persons: six digits, between them one separator at most
     numbers = rf"{digit}(?:(?:[ ~./-]|\\,)?{digit}){{5}}"
@@ -147,8 +145,6 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
             continue
         for m in grammar.finditer(text):
             a, b = m.span(1) if grammar.groups else m.span()
-            if b - a > LONGEST:
-                continue
             if kind in ("phone", "id_number") and not text[a:b].isascii() and len({ord(c) - int(c) for c in text[a:b] if c.isdecimal()}) > 1:
                 continue  # digits of several scripts are no number
             out.add((a, b, kind))
@@ -163,6 +159,30 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     return sorted(out)
 
 
+@lru_cache(2)
+def vocabulary_words(path: str = VOCABULARY) -> tuple[frozenset[str], frozenset[str]]:
+    """(common, proper): whole words of a public vocabulary that stand there in lower case, and those
+    (in lower case here) that stand there only with a capital."""
+    words = {t[1:].decode() for t in read_vocabulary(path) if t[:1] == b" " and t[1:].isalpha()}
+    lower = frozenset(w for w in words if w.islower())
+    return lower, frozenset(w.lower() for w in words if w.istitle()) - lower
+
+
+_classes: dict[str, str] = {}
+
+
+def word_class(word: str) -> str:
+    """``g`` a listed given name, ``c`` a common word, ``p`` a word known only with a capital, ``r`` a rare one."""
+    found = _classes.get(word)
+    if found is None:
+        low, (common, proper) = word.casefold(), vocabulary_words()
+        found = "g" if low in _given else "c" if low in common else "p" if low in proper else "r"
+        if len(_classes) > 1_000_000:
+            _classes.clear()
+        _classes[word] = found
+    return found
+
+
 @lru_cache(4096)
 def _lead(before: str) -> tuple[str, tuple[str, ...]]:
     """The word before a segment, none after a stop, and the cues that lead to it."""
@@ -211,19 +231,28 @@ def features(text: str, a: int, b: int, kind: str) -> list[str]:
         if swapped:
             tail = [p for p in parts_[1:] if len(p.rstrip(".")) > 1]
             head = tail[0].split("-")[0] if tail else given
-        known = head.casefold() in _given
+        c1, c2 = word_class(head), "t" if family.lower() in _things else word_class(family)
+        known, person = c1 == "g", "person" in cues
         order = "swapped" if swapped else "plain"
-        out += [f"name|{order} given {known}", f"name|family given {family.casefold() in _given}", f"name|{order}"]
-        out += [f"name|thing {family.lower() in _things or re.match(r'[ ~]*([A-Za-z]+)?', text[b : b + 14])[1] is not None and re.match(r'[ ~]*([A-Za-z]+)?', text[b : b + 14])[1].lower() in _things}"]
+        two = f"{c1}{c2}"
+        out += [f"name|{order} {two}", f"name|{order}", f"name|{two} cue {person}"]
+        next_ = re.match(r"[ ~]([A-Za-z]+)", text[b : b + 24])
+        thing = next_ is not None and next_[1].lower() in _things
+        led = re.search(r"([^\W\d_]+)[ ~]$", before)
+        out += [f"name|thing {thing}", f"name|led {two} {led is not None and led[1][0].isupper()}", f"name|goes on {next_ is not None and next_[1][0].isupper()} {two}"]
+        out += [f"name|led by {word_class(led[1]) if led else ''} {two}"]
         around = len(_GERMAN_WORDS.findall(text[max(0, a - 80) : a])) + len(_GERMAN_WORDS.findall(text[b : b + 80]))
-        out += [f"name|german {min(around, 3)} given {known}", f"name|german {around > 0} given {known} cue {'person' in cues}"]
-        out += [f"name|particle {p} given {known} cue {'person' in cues}" for p in bits if p in ("der", "von", "den")]
+        near = [w for w in re.findall(r"[^\W\d_A-Z]{3,}", text[max(0, a - 120) : a] + " " + text[b : b + 120]) if w.islower()]
+        strange = sum(word_class(w) == "r" for w in near)
+        foreign = (8 * strange + len(near) + 1) // (2 * len(near) + 2)  # quarters, rounded
+        out += [f"name|foreign {foreign} {two}", f"name|foreign {foreign} given {known} cue {person}", f"name|foreign {foreign} given {known} starts {before[-1:] in ('', chr(10), '{')}"]
+        out += [f"name|german {min(around, 3)} {two}", f"name|german {around > 0} given {known} cue {person}"]
+        out += [f"name|particle {p} given {known} cue {person}" for p in bits if p in ("der", "von", "den")]
         follows = re.sub(r"[^\W\d_a-z]", "A", re.sub(r"[a-zß-öø-ÿ]", "a", text[b : b + 2]))
         out += [f"name|given {known} follows {follows}", f"name|german {around > 0} given {known} follows {follows}"]
-        out += [f"name|capital {span[0].isupper()}", f"name|given {known} starts {before[-1:] in ('', chr(10))}"]
-        out += [f"name|opener {head.lower() in _openers}", f"name|capitals {span.upper() == span}", f"name|n {len(full)}"]
+        out += [f"name|capital {span[0].isupper()}", f"name|{two} starts {before[-1:] in ('', chr(10))}"]
+        out += [f"name|opener {head.lower() in _openers}", f"name|capitals {span.upper() == span} {family.isupper()}", f"name|n {len(full)}"]
         out += [f"name|cut {text[b : b + 1] == '-' and text[b + 1 : b + 2].isalpha()}", f"name|double {text[b : b + 2] == '--'}"]
-        out += [f"name|given {known} cue {'person' in cues}"]
         out += [f"name|{order} given {known} after initial"] if re.search(r"[^\W\d_]\.[ ~]?$", before) else []
         out += [f"name|{order} before point"] if text[b : b + 1] == "." and text[b + 1 : b + 3].strip().isalpha() else []
         out += ["name|line break"] if "\n" in span else []

@@ -2,12 +2,14 @@
 
 import itertools
 import random
+import re
 
 import pyarrow as pa
 
 from lumenfold.llm import personal as P
 from lumenfold.llm import training
 from lumenfold.llm.training import examples
+from tests.llm.held_out import FRESH, GIVEN, LINES, PLAIN, held_out
 
 TEXT = (
     "\\author{Chiara Norvaker \\and Søren B. Ulvemark-Pelliwicz\\orcid{0007-7543-8279-462X}}\r\n"
@@ -69,33 +71,35 @@ def test_redaction_keeps_the_rest(spark):
     assert out == {1: want, 2: None, 3: ""}
 
 
-HELD_OUT = "Xiaoming Wojciech Oleksandr Thabo Sunita Gergely Katarzyna Hyunwoo Ayodele Rosalind Tiago Parisa Eero Nikolaos".split()
-
-
 def regions(text):
     return [r for _, r in P._regions(pa.array([text]), P.anchor_patterns())]
 
 
-def test_names_need_no_list(monkeypatch):
+def accuracy(lines):
+    weights, hit, wrong, missed = dict(P.trained_weights()), 0, 0, 0
+    for text, gold in lines:
+        got = {(a, b, k) for r in regions(text) for a, b, k in P.best_segments(r, weights)}
+        hit, wrong, missed = hit + len(got & gold), wrong + len(got - gold), missed + len(gold - got)
+    return hit / (hit + missed), hit / (hit + wrong)
+
+
+def test_names_of_unknown_people_in_unknown_lines():
+    # no given name, family name or line of these is trained on
+    known = {g.casefold() for g in P.GIVEN} | {g.casefold() for g in training.UNLISTED}
+    assert not {g.casefold() for g in GIVEN} & known
+    assert not {w for t in (*LINES, *PLAIN, *FRESH) for w in re.split("<name>", t) if len(w) > 12} & {w for t in training.TEMPLATES for w in re.split(r"<\w+>", t)}
+    for lines in (None, FRESH):
+        recall, precision = accuracy(held_out(lines=lines))
+        assert recall > 0.9 and precision > 0.9, (recall, precision)
+
+
+def test_an_item_may_be_long():
     weights = dict(P.trained_weights())
-    assert not {h.casefold() for h in HELD_OUT} & ({g.casefold() for g in P.GIVEN} | {g.casefold() for g in training.UNLISTED})
-    for text in ("\\author{Xiaoming Zhang \\and Wojciech Nowak}\n", "We are grateful to Xiaoming Zhang for the probe.\n", "x\n\nthe flow of Thabo\nMokoena is slow\n"):
-        assert any("Xiaoming Zhang" in r or "Thabo\nMokoena" in r for r in regions(text))
-    found = {text[a:b] for text in regions("\\author{Xiaoming Zhang \\and Wojciech Nowak}\n") for a, b, _ in P.best_segments(text, weights)}
-    assert found == {"Xiaoming Zhang", "Wojciech Nowak"}
-    monkeypatch.setattr(training, "UNLISTED", HELD_OUT)
-    monkeypatch.setattr(training, "UNLISTED_SHARE", 1.0)
-    hit = wrong = missed = 0
-    made = examples(per_template=8, seed=815)
-    whole = set(P._regions(pa.array([t for t, _ in made]), P.anchor_patterns()))
-    for i, (text, gold) in enumerate(made):
-        names = {g for g in gold if g[2] == "name"}
-        assert not names or (i, text) in whole
-        got = {g for g in P.best_segments(text, weights) if g[2] == "name"} if (i, text) in whole else set()
-        hit, wrong, missed = hit + len(got & names), wrong + len(got - names), missed + len(names - got)
-    assert hit / (hit + missed) > 0.93 and hit / (hit + wrong) > 0.96
-    prose = "Die Temperatur Verteilung wird von der Lösung bestimmt. Velden Acad. und Tarn Lett. zeigt die Messung Kopplung.\n"
-    assert P.best_segments(prose, weights) == []
+    group = "{" + ",".join(f"author{i}" for i in range(60)) + "}@lab.example"
+    street = "12, rue " + " ".join(["du Pont"] * 12) + ", 75012 Belmont"
+    for text, kind in ((group, "email"), (street, "address")):
+        line = f"Contact: {text}.\n"
+        assert [(line[a:b], k) for a, b, k in P.best_segments(line, weights)] == [(text, kind)]
 
 
 MISSED = ["passport no. 123456789", "social security no. 123456789", "Phone 555-1234", "call 1234567", "tel 12345 67890", "call 030\\,1234567",
