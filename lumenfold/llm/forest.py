@@ -56,7 +56,7 @@ class ForestConfig:
     depth: int = 2
     recall: float = 0.99999
     common: int = 64
-    fanout: int = 4
+    fanout: int = 8
 
     def __post_init__(self) -> None:
         if not (0 < self.threshold <= 1 and 1 <= self.trees <= 60 and 1 <= self.depth <= 4):
@@ -98,7 +98,7 @@ def _least(t: float, n: int, shares_common: bool) -> float:
     return float(((o[keep] - 1) / (u[keep] - 1)).min()) if keep.any() else t
 
 
-def content_classes(files: DataFrame, *keep: str) -> DataFrame:
+def content_classes(files: DataFrame, *keep: Column | str) -> DataFrame:
     """Files to (id, digest, pieces, class): files of equal digest and pieces are one class.
 
     ``pieces`` is the sorted set without nulls; empty or null gives null, which matches nothing.
@@ -113,8 +113,8 @@ def content_classes(files: DataFrame, *keep: str) -> DataFrame:
 
 
 def arriving(batch: DataFrame) -> DataFrame:
-    """Files of a batch (id, batch_no, digest, pieces) with their class and their place in the order."""
-    return content_classes(batch, "batch_no").select("id", "digest", "pieces", "class", F.struct(F.col("batch_no").cast("int").alias("batch_no"), "id").alias("at"))
+    """Files of a batch (id, batch_no, digest, pieces) with their class."""
+    return content_classes(batch, F.col("batch_no").cast("int").alias("batch_no"))
 
 
 def class_key(column: str) -> Column:
@@ -262,20 +262,24 @@ def _placing(runs: dict[int, tuple], key: str, carry: list[str]):
 
 
 RANGE = "run int, file int, lo long, hi long"
-_AT = "struct<batch_no:int,id:long>"
 #: The columns of the written tables, so that no job has to find them out.
 SCHEMAS = {
-    "files": f"id long, digest string, pieces array<long>, class binary, at {_AT}", "classes": f"key long, class binary, digest string, pieces array<long>, first {_AT}",
-    "labels": "key long, ckey long", "common": "p long", "members": "key long, class binary, id long", "matches": "run int, q binary, a binary",
-    "old": "q binary, accepted_id long", "edges": "q binary, a binary", "pairs": "case_id long, accepted_id long",
+    "files": "id long, batch_no int, digest string, pieces array<long>, class binary", "classes": "key long, class binary, digest string, pieces array<long>, n int, i long",
+    "labels": "key long, ckey long", "common": "p long", "members": "key long, class binary, id long",
+    "found": "q binary, qn int, qi long, a binary, an int, ai long", "edges": "q binary, a binary", "pairs": "case_id long, accepted_id long",
 }
 
 
+def _no_place() -> list[Column]:
+    """n and i of a class of the library or of merged runs: it comes before every batch."""
+    return [F.lit(None).cast("int").alias("n"), F.lit(None).cast("long").alias("i")]
+
+
 class HashForest:
     """The persisted history below one folder: sorted runs of labels, classes and members.
 
     ``open`` continues with what an earlier session has written. A run holds ``labels`` (key, ckey),
-    ``classes`` (key, class, digest, pieces), its ``common`` pieces, and ``members`` (key, class, id):
+    ``classes`` (key, class, digest, pieces, and n, i: batch and id of the first file), its ``common`` pieces, and ``members`` (key, class, id):
     the accepted files. What is in ``classes`` without a member was not accepted.
     """
 
@@ -324,8 +328,8 @@ class HashForest:
     # -- writing --------------------------------------------------------------------------
 
     def _write_classes(self, name: str, classes: DataFrame, n: int) -> None:
-        """Classes, common pieces and labels of a run; ``classes``: (class, digest, pieces, ...)."""
-        rows = classes.withColumn("key", class_key("class"))
+        """Classes, common pieces and labels of a run; ``classes``: (class, digest, pieces, n, i)."""
+        rows = classes.select(class_key("class").alias("key"), "class", "digest", "pieces", F.col("n").cast("int").alias("n"), F.col("i").cast("long").alias("i"))
         write_sorted(rows, self._path(name, "classes"), n, "class")
         stored = self._read(name, "classes")
         often = stored.select(F.explode("pieces").alias("p")).groupBy("p").count().where(F.col("count") > self.config.common)
@@ -355,7 +359,7 @@ class HashForest:
         name = self._new("run")
         rows = self._written(content_classes(files), name, "files")
         n = rows_of(self._path(name, "files"))
-        self._write_classes(name, rows.groupBy("class").agg(F.first("digest").alias("digest"), F.first("pieces").alias("pieces")), n)
+        self._write_classes(name, rows.groupBy("class").agg(F.first("digest").alias("digest"), F.first("pieces").alias("pieces")).select("*", *_no_place()), n)
         self._append(name, rows, n, rows_of(self._path(name, "classes")))
         delete(self._path(name, "files"))
         return self
@@ -373,7 +377,7 @@ class HashForest:
             members = read("members")
             n = sum(rows_of(self._path(r["name"], "members")) for r in old)
             accepted = members.select("class").distinct()
-            classes = read("classes").join(accepted, "class", "left_semi").groupBy("class").agg(F.first("digest").alias("digest"), F.first("pieces").alias("pieces"))
+            classes = read("classes").join(accepted, "class", "left_semi").groupBy("class").agg(F.first("digest").alias("digest"), F.first("pieces").alias("pieces")).select("*", *_no_place())
             self._write_classes(name, classes, n)
             self.runs = [r for r in self.runs if r not in old]
             self._append(name, members, n, self.config.fanout ** (min(full) + 1))
@@ -389,22 +393,23 @@ class HashForest:
         return search(asked, self.folder, labels, ["q"], ["ckey"], "run int, q long, ckey long").distinct()
 
     def _verified(self, classes: DataFrame, names: list[str]) -> DataFrame:
-        """(run, q, a): classes of the batch and those of the runs which they match."""
+        """(run, q, qn, qi, a, an, ai): classes of the batch and those of the runs which they match, with their first files."""
         stored = self._index(names, "classes")
         placed = self._candidates(classes, names).mapInArrow(_placing(stored, "ckey", ["q"]), f"{RANGE}, q long")
-        found = search(placed, self.folder, stored, ["q"], ["class", "digest", "pieces"], "run int, q long, a binary, d string, y array<long>")
-        mine = classes.select(F.col("key").alias("q"), "class", "digest", F.col("pieces").alias("x"))
+        columns = ["class", "digest", "pieces", "n", "i"]
+        found = search(placed, self.folder, stored, ["q"], columns, "run int, q long, a binary, d string, y array<long>, an int, ai long")
+        mine = classes.select(F.col("key").alias("q"), "class", "digest", F.col("pieces").alias("x"), F.col("n").alias("qn"), F.col("i").alias("qi"))
         shared = F.size(F.array_intersect("x", "y"))
         similar = shared >= self.config.threshold * (F.size("x") + F.size("y") - shared)
         return (
             found.join(mine, "q").where((F.col("digest") == F.col("d")) | F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), similar))
-            .select("run", F.col("class").alias("q"), "a").distinct()
+            .select("run", F.col("class").alias("q"), "qn", "qi", "a", "an", "ai").distinct()
         )
 
     def _members(self, matches: DataFrame, names: list[str]) -> DataFrame:
         """(q, accepted_id): the accepted files of the classes matched."""
         stored = self._index(names, "members")
-        keyed = matches.withColumn("ckey", class_key("a"))
+        keyed = matches.select("run", "q", "a", class_key("a").alias("ckey"))
         placed = keyed.mapInArrow(_placing(stored, "ckey", ["q", "a"]), f"{RANGE}, q binary, a binary")
         found = search(placed, self.folder, stored, ["q", "a"], ["class", "id"], "run int, q binary, a binary, class binary, id long")
         return found.where("a = class").select("q", F.col("id").alias("accepted_id"))
@@ -426,39 +431,37 @@ class HashForest:
         """``check`` of ``n`` stored files with their classes; ``step`` names the folder of what lies between."""
         name = self._new("run")
         told = files.where("digest is not null or pieces is not null")
-        self._write_classes(name, told.groupBy("class").agg(F.min("at").alias("first"), F.first("digest").alias("digest"), F.first("pieces").alias("pieces")), n)
+        first = F.min(F.struct("batch_no", "id"))
+        grouped = told.groupBy("class").agg(F.first("digest").alias("digest"), F.first("pieces").alias("pieces"), first["batch_no"].alias("n"), first["id"].alias("i"))
+        self._write_classes(name, grouped, n)
         classes = self._read(name, "classes")
         history = [r["name"] for r in self.runs]
         own = len(history)
-        matches = self._written(self._verified(classes, [*history, name]), step, "matches")
-        found = self._members(matches.where(F.col("run") < own), history) if history else self.spark.createDataFrame([], SCHEMAS["old"])
-        old = self._written(found, step, "old")
+        matches = self._verified(classes, [*history, name])
+        found = matches.where((F.col("run") == own) & (F.col("q") != F.col("a"))).drop("run")
+        if history:  # of earlier runs the accepted files, of the batch itself the classes
+            stored = self._members(matches.where(F.col("run") < own), history)
+            found = found.unionByName(stored.select("q", F.col("accepted_id").alias("ai")), allowMissingColumns=True)
+        found = self._written(found.select("q", "qn", "qi", "a", "an", "ai"), step, "found")
+        old, edges = found.where("a is null"), found.where("a is not null")
         blocked = old.select(F.col("q").alias("class")).distinct()
-        first = classes.select("class", "first")
-        edges = (
-            matches.where((F.col("run") == own) & (F.col("q") != F.col("a"))).select("q", "a")
-            .join(first.withColumnsRenamed({"class": "q", "first": "q_first"}), "q")
-            .join(first.withColumnsRenamed({"class": "a", "first": "a_first"}), "a")
-        )
-        free = first.join(blocked, "class", "left_anti")
-        earlier = edges.where("a_first < q_first").select("q", "a")
-        both = earlier.join(blocked.withColumnRenamed("class", "q"), "q", "left_anti").join(blocked.withColumnRenamed("class", "a"), "a", "left_anti")
-        chosen = self._decide(free.select("class"), both, step).join(first, "class")
-        self._append(name, chosen.select("class", F.col("first.id").alias("id")), n, rows_of(self._path(name, "classes")))
-        accepted = self._read(name, "members").select("class", "id")
-        at = first.join(accepted.select("class"), "class", "left_semi")
-        against = old.select("q", "accepted_id", F.lit(None).cast(_AT).alias("since"))
-        near = edges.join(accepted.select(F.col("class").alias("a")), "a", "left_semi").select("q", F.col("a_first.id").alias("accepted_id"), F.col("a_first").alias("since"))
-        same = at.select(F.col("class").alias("q"), F.col("first.id").alias("accepted_id"), F.col("first").alias("since"))
-        member = told.select(F.col("class").alias("q"), "at")
+        before = edges.where("struct(an, ai) < struct(qn, qi)").select("q", "a")
+        both = before.join(blocked.withColumnRenamed("class", "q"), "q", "left_anti").join(blocked.withColumnRenamed("class", "a"), "a", "left_anti")
+        free = classes.select("class").join(blocked, "class", "left_anti")
+        chosen = self._decide(free, both, step).join(classes.select("class", F.col("i").alias("id")), "class")
+        self._append(name, chosen, n, rows_of(self._path(name, "classes")))
+        accepted = self._read(name, "members").select("class")
+        near = edges.join(accepted.withColumnRenamed("class", "a"), "a", "left_semi").select("q", "an", "ai")
+        same = classes.join(accepted, "class", "left_semi").select(F.col("class").alias("q"), F.col("n").alias("an"), F.col("i").alias("ai"))
+        member = told.select(F.col("class").alias("q"), "batch_no", "id")
         # files without digest and pieces match nothing and are accepted; nothing can match them
         pairs = (
-            against.unionByName(near).unionByName(same).join(member, "q")
-            .where(F.col("since").isNull() | (F.col("since") < F.col("at")))
-            .select(F.col("at.id").alias("case_id"), "accepted_id")
+            old.select("q", "an", "ai").unionByName(near).unionByName(same).join(member, "q")
+            .where("an is null or struct(an, ai) < struct(batch_no, id)")
+            .select(F.col("id").alias("case_id"), F.col("ai").alias("accepted_id"))
         )
         out = self._written(pairs, step, "pairs")
-        for part in ("files", "matches", "old", "edges"):
+        for part in ("files", "found", "edges"):
             delete(self._path(step, part))
         self.merge_runs()
         return out
@@ -471,10 +474,10 @@ class HashForest:
         undecided class of each component, so they end with the longest chain inside a batch.
         """
         edges = self._written(edges, f"{step}/edges/0", "edges")
+        open_rows = rows_of(self._path(step, "edges/0/edges"))
         later = edges.select(F.col("q").alias("class")).distinct()
-        accepted = [free.join(later, "class", "left_anti")]
+        accepted = [free.join(later, "class", "left_anti") if open_rows else free]
         fresh, rounds = accepted[0], 0
-        open_rows = rows_of(self._path(step, "edges/0/edges"))
         while open_rows:
             hit = edges.join(fresh.select(F.col("class").alias("a")), "a", "left_semi").select("q").distinct()
             left = edges.join(hit, "q", "left_anti")
@@ -497,13 +500,15 @@ class HashForest:
         self._save()
 
 
-def batch_matches(library: DataFrame, batches: DataFrame, config: ForestConfig = ForestConfig()) -> DataFrame:
+def batch_matches(library: DataFrame, batches: DataFrame, config: ForestConfig = ForestConfig(), backlog: bool = True) -> DataFrame:
     """Problem 4: (asset_id_a, asset_id_b), each case with every accepted file it matches.
 
     Defined results: of one asset_id in the library the latest indexed_at counts, of one in the
     batches the first batch (earliest delivery); null ids or batch numbers are left out; digests of
     hashes that did not complete, and null or empty pieces, say nothing. An empty library or no
-    batches are fine. The batches are checked one by one, each against the runs persisted before it.
+    batches are fine. All batches delivered so far are a ``backlog`` and checked in one call, in which
+    the files go by batch number; without it each batch is checked on its own, against the runs
+    persisted before it, which gives the same pairs.
     """
     from lumenfold.functions.identity import digest
 
@@ -516,8 +521,8 @@ def batch_matches(library: DataFrame, batches: DataFrame, config: ForestConfig =
     ).select("id", "b.batch_no", "b.digest", "b.pieces")
     forest = HashForest(spark, scratch_path(spark, "forest"), config)
     delivered = f"{forest.folder}/delivered"
-    rows = arriving(new.join(lib, "id", "left_anti")).withColumn("n", F.col("at.batch_no"))
-    rows.repartition("n", F.pmod(F.xxhash64("id"), F.lit(8))).write.partitionBy("n").parquet(delivered)
+    rows = arriving(new.join(lib, "id", "left_anti")).withColumn("n", F.lit(0) if backlog else F.col("batch_no"))
+    (rows if backlog else rows.repartition("n", F.pmod(F.xxhash64("id"), F.lit(8)))).write.partitionBy("n").parquet(delivered)
     forest.build(lib)
     spark.createDataFrame([], SCHEMAS["pairs"]).write.parquet(f"{forest.folder}/step-0/pairs")
     steps = [f"{forest.folder}/step-0/pairs"]

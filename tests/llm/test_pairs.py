@@ -98,9 +98,10 @@ def test_forest_brute_force(spark, common):
     new = spark.createDataFrame([(i, number(i), T0, 1, d, s, p) for i, d, s, p in batch], NEW)
     # delivered again later: the first batch counts; rows without an id say nothing
     again = spark.createDataFrame([(1000, 3, T0, 1, None, None, [1, 2, 3]), (None, 1, T0, 1, None, None, None)], NEW)
-    got = [tuple(r) for r in batch_matches(lib, new.unionByName(again), ForestConfig(common=common, fanout=2)).collect()]
-    assert len(got) == len(set(got))
-    assert set(got) == brute(library, batch)
+    for backlog in (False, True):
+        got = [tuple(r) for r in batch_matches(lib, new.unionByName(again), ForestConfig(common=common, fanout=2), backlog).collect()]
+        assert len(got) == len(set(got))
+        assert set(got) == brute(library, batch)
 
 
 def test_forest_batch_by_batch_equals_one_call(spark):
