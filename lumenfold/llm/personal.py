@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -55,7 +56,9 @@ ROMANCE = "Calle|Avenida|Plaza|Paseo|Rua|Via|Viale|Piazza|Largo"
 FRENCH = "rue|avenue|boulevard|place|chemin|quai|allée|impasse"
 UNITS = "Apt|Suite|Unit|Flat|Room|Rm|App|Bldg"
 # Words of German prose, in which every noun has a capital.
-_GERMAN_WORDS = re.compile(r"(?i)\b(?:der|die|das|den|dem|und|ist|sind|wird|eine?|für|mit|von|bei|durch|nicht|auf|zur?|im|als|wie|aus|nach|sich|werden|wurde)\b")
+_GERMAN_WORDS = frozenset("""der die das den dem und ist sind wird ein eine für mit von bei durch nicht auf zu zur im als wie aus nach sich
+werden wurde""".split())
+_LOWER = re.compile(r"(?<![^\W_])[a-zß-öø-ÿ]+(?![^\W_])")
 
 _WORD = r"[^\W\d_]"
 _FAMILY = rf"(?:(?:van|von|de|der|den|da|di|del)[ ~])*(?:O'|Mc|Mac)?[^\W\d_a-zß-öø-ÿ]{_WORD}+(?:-(?:O')?[^\W\d_a-zß-öø-ÿ]{_WORD}+)*"
@@ -93,12 +96,13 @@ GRAMMARS: tuple[tuple[str, re.Pattern], ...] = (
 _MAIL = re.compile(rf"{_AT}[\w-]+{_DOT}[\w-]", re.I)
 _given = frozenset(g.casefold() for g in GIVEN)
 _things, _openers = frozenset(THINGS), frozenset(OPENERS)
+# Words that lead to an item, and how many words before it they may stand.
 CUES = (
-    ("phone", re.compile(r"(?i)(?:tel|phone|fax|ring|mobile|call(?:ed)?|taken at)[^\w]*(?:\w+[^\w]+){0,4}$")),
-    ("id", re.compile(r"(?i)(?:ssn|social|sec|passport|pass|orcid|national|identity|identifier|personal id|id|researcher|travel document|tax)[^\w]*(?:\w{1,8}[^\w]+){0,3}$")),
-    ("thing", re.compile(r"(?i)(?:grant|version|runs?|report|issn|doi|accession|nr|ref|pp|eq|fig|commit)[^\w]*(?:\w+[^\w]+){0,2}$")),
-    ("person", re.compile(r"(?i)(?:thank|author|by|with|dr|prof|mail|call|form|contact|record|said|and|danken|sowie|frau|herrn?)[^\w]*$")),
-)
+    ("phone", 5, frozenset("tel telephone phone fax ring mobile call called taken".split())),
+    ("id", 4, frozenset("ssn social sec passport pass orcid national identity identifier personal id researcher travel document tax".split())),
+    ("thing", 3, frozenset("grant version run runs report issn doi accession nr ref pp eq fig commit".split())),
+    ("person", 1, frozenset("thank thanks author by with dr prof mail call form contact record said and danken sowie frau herr herrn".split())),
+)
 
 
 # The same in RE2, whose own classes are ASCII: a capital, a letter, an initial.
@@ -137,10 +141,16 @@ def anchor_patterns() -> tuple[str, ...]:
 BETWEEN = r"\A[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85},\\]*\z"
 
 
-def candidates(text: str) -> list[tuple[int, int, str]]:
-    """Segments (begin, end, kind) the grammars propose, with shorter and longer alternatives."""
+_PARTS, _NEXT, _LED = re.compile(r",|" + _GAP), re.compile(r"[ ~]([A-Za-z]+)"), re.compile(r"([^\W\d_]+)[ ~]$")
+_INITIAL_BEFORE = re.compile(r"[^\W\d_]\.[ ~]?$")
+
+
+def candidates(text: str, kinds: frozenset[str] = frozenset(KINDS)) -> list[tuple[int, int, str]]:
+    """Segments (begin, end, kind) of some kinds the grammars propose, with shorter and longer alternatives."""
     out: set[tuple[int, int, str]] = set()
     for kind, grammar in GRAMMARS:
+        if kind not in kinds:
+            continue
         if kind == "email" and not _MAIL.search(text):
             continue
         for m in grammar.finditer(text):
@@ -183,15 +193,43 @@ def word_class(word: str) -> str:
     return found
 
 
+_TOKEN, _LETTERS, _LAST_STOP = re.compile(r"\w+"), re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?"), re.compile(r"[.;:]\s*$")
+
+
 @lru_cache(4096)
 def _lead(before: str) -> tuple[str, tuple[str, ...]]:
     """The word before a segment, none after a stop, and the cues that lead to it."""
-    words = re.findall(r"[^\W\d_]+", before[-25:])
-    last = words[-1].lower() if words and not re.search(r"[.;:]\s*$", before) else ""
-    return last, tuple(c for c, p in CUES if p.search(before))
+    words = _TOKEN.findall(before.lower())
+    last = words[-1] if words and not _LAST_STOP.search(before) else ""
+    return last, tuple(c for c, n, cue in CUES if not cue.isdisjoint(words[-n:]))
 
 
-def features(text: str, a: int, b: int, kind: str) -> list[str]:
+class _Surroundings:
+    """Of a text: where its lower-case words, those of them the vocabulary does not have, and German ones end."""
+
+    def __init__(self, text: str):
+        self.words, self.strange, self.german = [], [], []
+        for m in _LOWER.finditer(text):
+            word = m.group()
+            if word in _GERMAN_WORDS:
+                self.german.append(m.end())
+            if len(word) > 2:
+                self.words.append(m.end())
+                if word_class(word) == "r":
+                    self.strange.append(m.end())
+
+    @staticmethod
+    def _between(ends: list[int], a: int, b: int) -> int:
+        return bisect_right(ends, b) - bisect_right(ends, a)
+
+    def near(self, a: int, b: int) -> tuple[int, int]:
+        """(German words within 80 characters of a segment, quarters of strange words within 120)."""
+        around = lambda ends, r: self._between(ends, a - r, a) + self._between(ends, b, b + r)
+        words = around(self.words, 120)
+        return around(self.german, 80), (8 * around(self.strange, 120) + words + 1) // (2 * words + 2)
+
+
+def features(text: str, a: int, b: int, kind: str, around: _Surroundings | None = None) -> list[str]:
     """Whole-span features of a segment and its surroundings."""
     span = text[a:b]
     before = text[max(0, a - 40) : a]
@@ -222,12 +260,12 @@ def features(text: str, a: int, b: int, kind: str) -> list[str]:
         out += [f"address|style {style}", f"address|ends {'zip' if whole else 'town'}", f"address|cut {bool(more)}", f"address|house {bool(house)}"]
     else:
         swapped = "," in span
-        bits = re.findall(r"[^\W\d_]+(?:'[^\W\d_]+)?", span)
+        bits = _LETTERS.findall(span)
         full = [w for w in bits if len(w) > 1]
         given = full[-1] if swapped else full[0]
         family = full[0] if swapped else full[-1]
-        parts_ = re.split(r",|" + _GAP, span)
-        head = (parts_[-1] if swapped else parts_[0]).split("-")[0].strip()
+        parts_ = _PARTS.split(span)
+        head = parts_[0].split("-")[0].strip()
         if swapped:
             tail = [p for p in parts_[1:] if len(p.rstrip(".")) > 1]
             head = tail[0].split("-")[0] if tail else given
@@ -236,36 +274,36 @@ def features(text: str, a: int, b: int, kind: str) -> list[str]:
         order = "swapped" if swapped else "plain"
         two = f"{c1}{c2}"
         out += [f"name|{order} {two}", f"name|{order}", f"name|{two} cue {person}"]
-        next_ = re.match(r"[ ~]([A-Za-z]+)", text[b : b + 24])
+        next_, led = _NEXT.match(text, b), _LED.search(before)
         thing = next_ is not None and next_[1].lower() in _things
-        led = re.search(r"([^\W\d_]+)[ ~]$", before)
         out += [f"name|thing {thing}", f"name|led {two} {led is not None and led[1][0].isupper()}", f"name|goes on {next_ is not None and next_[1][0].isupper()} {two}"]
         out += [f"name|led by {word_class(led[1]) if led else ''} {two}"]
-        around = len(_GERMAN_WORDS.findall(text[max(0, a - 80) : a])) + len(_GERMAN_WORDS.findall(text[b : b + 80]))
-        near = [w for w in re.findall(r"[^\W\d_A-Z]{3,}", text[max(0, a - 120) : a] + " " + text[b : b + 120]) if w.islower()]
-        strange = sum(word_class(w) == "r" for w in near)
-        foreign = (8 * strange + len(near) + 1) // (2 * len(near) + 2)  # quarters, rounded
+        german, foreign = (around or _Surroundings(text)).near(a, b)
         out += [f"name|foreign {foreign} {two}", f"name|foreign {foreign} given {known} cue {person}", f"name|foreign {foreign} given {known} starts {before[-1:] in ('', chr(10), '{')}"]
-        out += [f"name|german {min(around, 3)} {two}", f"name|german {around > 0} given {known} cue {person}"]
+        out += [f"name|german {min(german, 3)} {two}", f"name|german {german > 0} given {known} cue {person}"]
         out += [f"name|particle {p} given {known} cue {person}" for p in bits if p in ("der", "von", "den")]
-        follows = re.sub(r"[^\W\d_a-z]", "A", re.sub(r"[a-zß-öø-ÿ]", "a", text[b : b + 2]))
-        out += [f"name|given {known} follows {follows}", f"name|german {around > 0} given {known} follows {follows}"]
+        follows = "".join("a" if c.islower() else "A" if c.isalpha() else c for c in text[b : b + 2])
+        out += [f"name|given {known} follows {follows}", f"name|german {german > 0} given {known} follows {follows}"]
         out += [f"name|capital {span[0].isupper()}", f"name|{two} starts {before[-1:] in ('', chr(10))}"]
         out += [f"name|opener {head.lower() in _openers}", f"name|capitals {span.upper() == span} {family.isupper()}", f"name|n {len(full)}"]
         out += [f"name|cut {text[b : b + 1] == '-' and text[b + 1 : b + 2].isalpha()}", f"name|double {text[b : b + 2] == '--'}"]
-        out += [f"name|{order} given {known} after initial"] if re.search(r"[^\W\d_]\.[ ~]?$", before) else []
+        out += [f"name|{order} given {known} after initial"] if _INITIAL_BEFORE.search(before) else []
         out += [f"name|{order} before point"] if text[b : b + 1] == "." and text[b + 1 : b + 3].strip().isalpha() else []
         out += ["name|line break"] if "\n" in span else []
     return out
 
 
 def _lattice(text: str) -> list[tuple[int, int, str, list[str]]]:
-    return [(a, b, k, features(text, a, b, k)) for a, b, k in sorted(candidates(text), key=lambda s: (s[1], s[0], s[2]))]
+    around = _Surroundings(text)
+    return [(a, b, k, features(text, a, b, k, around)) for a, b, k in sorted(candidates(text), key=lambda s: (s[1], s[0], s[2]))]
 
 
-def best_segments(text: str, weights: dict[str, float]) -> list[tuple[int, int, str]]:
+def best_segments(text: str, weights: dict[str, float], kinds: frozenset[str] = frozenset(KINDS)) -> list[tuple[int, int, str]]:
     """The highest-scoring set of segments that do not overlap (Viterbi over segment ends)."""
-    segments = [(a, b, k, sum(weights.get(f, 0.0) for f in features(text, a, b, k))) for a, b, k in candidates(text)]
+    found, around, weight = candidates(text, kinds), None, weights.get
+    if any(k == "name" for _, _, k in found):
+        around = _Surroundings(text)
+    segments = [(a, b, k, sum([weight(f, 0.0) for f in features(text, a, b, k, around)])) for a, b, k in found]
     segments = sorted((s for s in segments if s[3] > 0), key=lambda s: s[1])
     ends = [s[1] for s in segments]
     best, back = [0.0], [None]
@@ -347,8 +385,12 @@ def trained_weights() -> tuple[tuple[str, float], ...]:
     return tuple(sorted(train(examples()).items()))
 
 
-def _regions(texts: pa.Array, patterns: tuple[str, ...]) -> Iterator[tuple[int, str]]:
-    """(index of text, lines) of the lines that may hold an item, with one line on each side.
+#: The kinds of items of which each of ``anchor_patterns`` finds the lines.
+ANCHORED = (("name",), ("email",), ("phone", "id_number"), ("address",))
+
+
+def _regions(texts: pa.Array, patterns: tuple[str, ...]) -> Iterator[tuple[int, str, frozenset[str]]]:
+    """(index of text, lines, kinds) of the lines that may hold an item of these kinds, with one line on each side.
 
     After a house or unit, lines that are blank or hold but commas and line commands do not count as
     that line: the address may go on after them.
@@ -365,7 +407,9 @@ def _regions(texts: pa.Array, patterns: tuple[str, ...]) -> Iterator[tuple[int,
     cuts = np.append(0, cuts).astype(np.int32)
     lines = pa.Array.from_buffers(pa.string(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(data)])
     match = lambda p: pc.match_substring_regex(lines, p).to_numpy(zero_copy_only=False)
-    hits = np.flatnonzero(np.logical_or.reduce([match(p) for p in patterns]) | match(NAME_ENDS) & np.append(match(NAME_GOES_ON)[1:], False))
+    each = np.array([match(p) for p in patterns])
+    each[0] |= match(NAME_ENDS) & np.append(match(NAME_GOES_ON)[1:], False)
+    hits = np.flatnonzero(each.any(0))
     if not len(hits):
         return
     owner = np.searchsorted(ends, cuts[:-1], side="right") - 1
@@ -383,8 +427,10 @@ def _regions(texts: pa.Array, patterns: tuple[str, ...]) -> Iterator[tuple[int,
                 spans.append((begin, stop))
             begin, stop = a, b
     spans.append((begin, stop))
+    kinds = [frozenset(k for j, own in enumerate(ANCHORED) if bits >> j & 1 for k in own) for bits in range(1 << len(ANCHORED))]
     for a, b in spans:
-        yield int(owner[a]), str(data[cuts[a] : cuts[b + 1]], "utf-8")
+        bits = sum(1 << j for j, some in enumerate(each[:, a : b + 1].any(1)) if some)
+        yield int(owner[a]), str(data[cuts[a] : cuts[b + 1]], "utf-8"), kinds[bits]
 
 
 def _finder(weights: dict[str, float]):
@@ -393,8 +439,8 @@ def _finder(weights: dict[str, float]):
         for batch in batches:
             for part in parts(batch, "text"):
                 seen: dict[tuple[int, str, str], None] = {}
-                for i, region in _regions(part.column("text"), patterns):
-                    for a, b, kind in best_segments(region, weights):
+                for i, region, kinds in _regions(part.column("text"), patterns):
+                    for a, b, kind in best_segments(region, weights, kinds):
                         seen[i, kind, region[a:b]] = None
                 rows = np.array([k[0] for k in seen], np.int64)
                 others = [part.column(j).take(pa.array(rows)) for j, n in enumerate(part.schema.names) if n != "text"]
@@ -421,8 +467,8 @@ def _redactor(weights: dict[str, float], placeholders: dict[str, str]):
                 column = part.column("text")
                 texts = column.to_pylist()
                 items: dict[int, list[tuple[str, str]]] = {}
-                for i, region in _regions(column, patterns):
-                    items.setdefault(i, []).append((region, "".join(_replaced(region, weights, placeholders))))
+                for i, region, kinds in _regions(column, patterns):
+                    items.setdefault(i, []).append((region, "".join(_replaced(region, weights, placeholders, kinds))))
                 for i, changes in items.items():
                     out, at = [], 0
                     for old, new in changes:  # regions come in order and do not overlap
@@ -437,9 +483,9 @@ def _redactor(weights: dict[str, float], placeholders: dict[str, str]):
     return run
 
 
-def _replaced(region: str, weights: dict[str, float], placeholders: dict[str, str]) -> Iterator[str]:
+def _replaced(region: str, weights: dict[str, float], placeholders: dict[str, str], kinds: frozenset[str]) -> Iterator[str]:
     at = 0
-    for a, b, kind in best_segments(region, weights):
+    for a, b, kind in best_segments(region, weights, kinds):
         yield region[at:a]
         yield placeholders[kind]
         at = b

@@ -12,7 +12,7 @@ from functools import lru_cache
 
 from lumenfold.llm.personal import GIVEN, THINGS, vocabulary_words
 
-PER_TEMPLATE = 16
+PER_TEMPLATE = 24
 
 # Given names that are not in the list of ``personal``, so that the field learns names from
 # their surroundings; the tests hold out others.
