@@ -37,12 +37,10 @@ def duplicate_files(files: DataFrame, hashed: DataFrame, digest: str = "sha256")
     return files.join(groups, digest)
 
 
-def path_lists(df: DataFrame, keys: list[str], path: str) -> DataFrame:
-    """Duplicates by ``keys`` with their paths, sorted and joined by `` | ``."""
-    return (
-        df.groupBy(*keys).agg(F.count("*").alias("copies"), F.array_join(F.array_sort(F.collect_list(path)), " | ").alias("paths"))
-        .where("copies > 1")
-    )
+def members_of_repeated(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose ``keys`` occur more than once, with ``copies``: a row a member, no list a group."""
+    groups = df.groupBy(*keys).agg(F.count("*").alias("copies")).where("copies > 1")
+    return df.join(groups, keys)
 
 
 def shared_size_flags(df: DataFrame, size: str = "size_bytes") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions.text import path_name, path_parent
@@ -59,9 +59,33 @@ def upsert(stored: DataFrame, scanned: DataFrame, key: str = "asset_id") -> Data
     )
 
 
-def missing(inventory: DataFrame, seen: DataFrame, clean_sources: DataFrame) -> DataFrame:
-    """Inventory rows not seen, of sources scanned without error only."""
-    return inventory.join(clean_sources, "source_name", "left_semi").join(seen, "asset_id", "left_anti")
+def missing_at(snapshots: DataFrame, clean: DataFrame, source: str, number: str, key: str) -> DataFrame:
+    """(source, number, key): the clean scan at which each record is first found missing, every time it is.
+
+    Only a scan of ``clean`` (source, number), without error, can tell that a record is gone: the next
+    one after the last sight of it, in whatever scan that was. A record seen again may go again. One
+    window by record, of as many rows as there are snapshots; the clean scans are a small table.
+    """
+    order = Window.partitionBy(source, key).orderBy(number)
+    seen = snapshots.select(source, key, number).dropna().distinct().withColumn("__again", F.lead(number).over(order))
+    scans = clean.select(source, number).dropna().distinct()
+    every = snapshots.select(source, number).dropna().distinct()
+    after = (
+        every.join(scans.select(source, F.col(number).alias("__at")), source).where(F.col("__at") > F.col(number))
+        .groupBy(source, number).agg(F.min("__at").alias("__at"))
+    )
+    gone = seen.join(after, [source, number]).where(F.col("__again").isNull() | (F.col("__again") > F.col("__at")))
+    return gone.select(source, F.col("__at").alias(number), key)
+
+
+def inside(df: DataFrame, group: str, folder: str) -> DataFrame:
+    """(group, folder, inside): folders of a group that lie inside another of it.
+
+    Every ancestor of a folder is a row, so overlap is an equality and no pairs of folders are compared.
+    """
+    ups = F.expr(f"transform(sequence(1, size(split(`{folder}`, '/')) - 1), k -> array_join(slice(split(`{folder}`, '/'), 1, k), '/'))")
+    up = df.where(F.size(F.split(folder, "/")) > 1).select(group, folder, F.explode(ups).alias("inside"))
+    return up.join(df.select(group, F.col(folder).alias("inside")), [group, "inside"]).select(group, folder, "inside")
 
 
 def counted(**conditions: str) -> list[Column]:

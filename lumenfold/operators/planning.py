@@ -76,6 +76,16 @@ def place(rows: DataFrame, occupied: DataFrame, base: str = "Imported") -> DataF
     ).drop("__first", "__taken", "claim_key")
 
 
-def collision_numbers(df: DataFrame, key: str, ident: str = "asset_id") -> DataFrame:
-    """Every row with ``nth``, its place among those of one key by id."""
-    return df.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(ident)))
+def collision_numbers(df: DataFrame, key: str, ident: str = "asset_id", width: int = 1000) -> DataFrame:
+    """Every row with ``nth``, its place among those of one key by its unique integer id.
+
+    Rows are ranked inside ranges of ``width`` ids, and the ranges of a key by their counts, so no task
+    sorts more than ``width`` rows or the ranges of one key.
+    """
+    rows = df.withColumn("__r", F.expr(f"`{ident}` div {width}"))
+    before = Window.partitionBy(key).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(key, "__r").agg(F.count("*").alias("__c"))
+    counts = counts.select(F.col(key).alias("__k"), F.col("__r").alias("__q"), F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__before"))
+    inner = F.row_number().over(Window.partitionBy(key, "__r").orderBy(ident))
+    ranked = rows.withColumn("__n", inner).join(counts, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__r") == F.col("__q")))
+    return ranked.withColumn("nth", F.col("__n") + F.col("__before")).select(*df.columns, "nth")

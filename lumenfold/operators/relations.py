@@ -63,12 +63,23 @@ def one_sided_pairs(rows: DataFrame) -> DataFrame:
 _CLOSE = ("exact_within_3_seconds", "same_wall_clock_within_3_seconds", "unavailable")
 
 
+def only_pairs(rows: DataFrame) -> DataFrame:
+    """The fallback for keys of one image and one video, by one aggregate a key and no Python."""
+    keys = ["source_name", "stem_key", "parent"]
+    free = rows.where("identifier is null").withColumn("parent", path_parent(F.col("folder")))
+    is_image = F.col("kind") == "image"
+    side = lambda c, n: F.min(F.when(c, F.struct("asset_id", "wall", "off"))).alias(n)
+    ones = free.groupBy(*keys).agg(F.count_if(is_image).alias("i"), F.count_if(~is_image).alias("v"), side(is_image, "l"), side(~is_image, "r")).where("i = 1 and v = 1")
+    close = timestamp_class((F.col("l.wall"), F.col("l.off")), (F.col("r.wall"), F.col("r.off"))).isin(*_CLOSE)
+    return ones.where(close).select(F.lit("active").alias("status"), F.col("l.asset_id").alias("primary_id"), F.col("r.asset_id").alias("secondary_id"), F.lit(1).cast("long").alias("candidates"))
+
+
 def fallback_pairs(rows: DataFrame) -> DataFrame:
     """Image and video without identifiers, of one source and stem, near in folder and time.
 
-    Greedy by image path, as the order decides contested videos. Near folders have the same
-    parent, so a group is one stem of one source below one parent: files of one name in sibling
-    folders, few by nature. Only groups with both kinds go to the grouped pandas function.
+    Near folders have the same parent, so a group is one stem of one source below one parent. Groups
+    of one image and one video are paired by an aggregate. In the others the order of the image paths
+    decides contested videos; they are files of one name in sibling folders, and one task pairs them.
     """
     def pair(pdf: pd.DataFrame) -> pd.DataFrame:
         from lumenfold.operators.relations_local import greedy
@@ -77,10 +88,11 @@ def fallback_pairs(rows: DataFrame) -> DataFrame:
 
     keys = ["source_name", "stem_key", "parent"]
     free = rows.where("identifier is null").withColumn("parent", path_parent(F.col("folder")))
-    both = free.groupBy(*keys).agg(F.min("kind").alias("a"), F.max("kind").alias("b")).where("a != b").select(*keys)
-    small = free.join(both, keys, "left_semi")
+    is_image = F.col("kind") == "image"
+    several = free.groupBy(*keys).agg(F.count_if(is_image).alias("i"), F.count_if(~is_image).alias("v")).where("i > 0 and v > 0 and i + v > 2").select(*keys)
     schema = "status string, primary_id long, secondary_id long, candidates long"
-    out = small.groupBy(*keys).applyInPandas(pair, schema)
+    contested = free.join(several, keys, "left_semi").groupBy(*keys).applyInPandas(pair, schema)
+    out = only_pairs(rows).unionByName(contested)
     return out.select(F.lit("filename_pair").alias("relationship_type"), "status", "primary_id", "secondary_id", F.lit(0.6).alias("confidence"), "candidates")
 
 

@@ -39,12 +39,32 @@ def orphans(df: DataFrame, key: str, owners: DataFrame) -> DataFrame:
 
 
 def completeness(items: DataFrame, bundle: str, item: str, ok: Column) -> DataFrame:
-    """(bundle, required, completed, failed, status): item ids in order, complete if all are."""
-    ids = lambda c: F.array_join(F.array_sort(F.collect_list(F.when(c, F.col(item)))), ";")
-    return items.groupBy(bundle).agg(
-        ids(F.lit(True)).alias("required"), ids(ok).alias("completed"), ids(~ok).alias("failed"),
-        F.when(F.bool_and(ok), "complete").otherwise("incomplete").alias("status"),
+    """(bundle, item, done, required, completed, failed, status): each item with the counts of its bundle.
+
+    A bundle is complete if all its items are. Items are rows, so a bundle may be of any size.
+    """
+    rows = items.select(bundle, item, ok.alias("done"))
+    counts = rows.groupBy(bundle).agg(
+        F.count("*").alias("required"), F.count_if("done").alias("completed"), F.count_if(~F.col("done")).alias("failed"),
+        F.when(F.bool_and("done"), "complete").otherwise("incomplete").alias("status"),
     )
+    return rows.join(counts, bundle)
+
+
+def fingerprints(df: DataFrame, group: str, ident: str, value: Column, width: int = 1000) -> DataFrame:
+    """(group, fingerprint): a digest of all (ident, value) of a group, whatever its size.
+
+    A tree of digests: of each ``width`` consecutive ids, of each ``width`` of those, and of these. No
+    row holds more than ``width`` items, and ids up to width ** 3 times the last level's rows fit.
+    """
+    rows = df.select(group, F.col(ident).alias("__i"), value.alias("__v"))
+    for level in range(3):
+        item = F.struct("__i", F.concat(F.col("__i").cast("string"), F.lit("="), "__v").alias("v"))
+        keys = [group] if level == 2 else [group, F.expr(f"__i div {width}").alias("__b")]
+        rows = rows.groupBy(*keys).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(item))["v"], ";"), 256).alias("__v"))
+        if level < 2:
+            rows = rows.withColumnRenamed("__b", "__i")
+    return rows.withColumnRenamed("__v", "fingerprint")
 
 
 def affected(plans: DataFrame, items: DataFrame, changed: DataFrame, plan: str, key: str) -> DataFrame:

@@ -152,10 +152,10 @@ def pred_p9_missing_metadata(spark, folder):
 # -- duplicates ----------------------------------------------------------------------------
 
 
-@query(f"""WITH {CUR}, g AS (SELECT size_bytes FROM cur WHERE size_bytes IS NOT NULL GROUP BY 1 HAVING count(*) > 1)
-SELECT asset_id, size_bytes FROM cur WHERE size_bytes IN (FROM g) AND asset_role = 'candidate'""")
+@query(f"""WITH {BATCH}, g AS (SELECT size_bytes FROM first_batch WHERE size_bytes IS NOT NULL GROUP BY 1 HAVING count(*) > 1)
+SELECT asset_id, size_bytes FROM first_batch WHERE size_bytes IN (FROM g)""")
 def j1_size_candidates(spark, folder):
-    return dedup.size_candidates(cur(spark, folder)).where("asset_role = 'candidate'").select("asset_id", "size_bytes")
+    return dedup.size_candidates(first_batch(spark, folder)).select("asset_id", "size_bytes")
 
 
 _GROUPS = "g AS (SELECT sha256, count(*) AS copies, max(size_bytes) AS size_bytes, CAST(sum(size_bytes) AS BIGINT) AS total_bytes FROM plan_cur WHERE sha256 IS NOT NULL GROUP BY 1 HAVING count(*) > 1)"
@@ -178,15 +178,16 @@ def j3_duplicate_files(spark, folder):
     return dedup.duplicate_files(rows, rows).select("asset_id", "absolute_path", "copies", "group_bytes")
 
 
-@query(f"WITH {CUR} SELECT size_bytes, count(*) AS copies FROM cur WHERE size_bytes IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
+@query(f"WITH {LIB} SELECT size_bytes, count(*) AS copies FROM lib WHERE size_bytes IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
 def a2_size_groups(spark, folder):
-    return dedup.repeated_sizes(cur(spark, folder))
+    return dedup.repeated_sizes(lib(spark, folder))
 
 
-@query(f"""WITH {LIB} SELECT sha256, size_bytes, count(*) AS copies, string_agg(absolute_path, ' | ' ORDER BY absolute_path) AS paths
-FROM lib WHERE sha256 IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1""")
+@query(f"""WITH {LIB} SELECT sha256, size_bytes, asset_id, absolute_path, count(*) OVER (PARTITION BY sha256, size_bytes) AS copies
+FROM lib WHERE sha256 IS NOT NULL QUALIFY copies > 1""")
 def a3_canonical_duplicates(spark, folder):
-    return dedup.path_lists(lib(spark, folder).where("sha256 is not null"), ["sha256", "size_bytes"], "absolute_path")
+    rows = lib(spark, folder).where("sha256 is not null")
+    return dedup.members_of_repeated(rows, ["sha256", "size_bytes"]).select("sha256", "size_bytes", "asset_id", "absolute_path", "copies")
 
 
 @query(f"WITH {PLAN}, {_GROUPS} SELECT coalesce(max(copies), 0) AS largest FROM g")
@@ -281,6 +282,9 @@ def a14_plan_summary(spark, folder):
 
 # -- relations -----------------------------------------------------------------------------
 
+#: The number that ends a file's name.
+NUMBER = "([0-9]+)\\.[^.]*$"
+
 _SPACE = "[\\s\\x1c-\\x1f\\x85\\p{Z}]"
 _ID = f"nullif(lower(regexp_replace(regexp_replace(apple_content_identifier, '^{_SPACE}+|{_SPACE}+$', '', 'g'), '^[\\x00{{}}]+|[\\x00{{}}]+$', '', 'g')), '')"
 _KIND = "CASE WHEN lower(trim(media_type)) IN ('image', 'video') THEN lower(trim(media_type)) WHEN lower(extension) IN ('.mov', '.mp4', '.m4v', '.avi', '.mkv', '.mts') THEN 'video' ELSE 'image' END"
@@ -294,10 +298,24 @@ _INSPECT = f"""{CUR}, ins AS (SELECT asset_id, source_name, regexp_extract(absol
   WHERE scan_status = 'available' AND size_bytes IS NOT NULL AND mtime_ns IS NOT NULL)"""
 
 
+_NUMBERED = f"""{_INSPECT.replace('), ins AS', '), ins0 AS')}, ins AS (SELECT ins0.* REPLACE (ins0.source_name AS folder, CAST(CAST(regexp_extract(cur.filename, '([0-9]+)\\.[^.]*$', 1) AS BIGINT) // 50 AS VARCHAR) AS stem_key)
+  FROM ins0 JOIN cur USING (asset_id))"""
+
+
 def _inspect(spark, folder):
     return relations.inspections(cur(spark, folder))
 
 
+def numbered(spark, folder):
+    """The assets as if each source were one folder and each file had for a name its number without the
+    last digits: in the tables no two files of a folder have one stem, and the stages by names find nothing."""
+    rows = cur(spark, folder)
+    number = F.expr(f"cast(regexp_extract(filename, r'{NUMBER}', 1) as bigint) div 50").cast("string")
+    return relations.inspections(rows.withColumns({
+        "filename": F.concat(number, F.lower("extension")), "absolute_path": F.concat("source_name", F.lit("/"), number, F.lit("-"), "asset_id", F.lower("extension")),
+    }))
+
+
 @query(f"WITH {_INSPECT} SELECT asset_id, folder, stem_key, kind, identifier, wall, off FROM ins")
 def f_inspections(spark, folder):
     return _inspect(spark, folder).select("asset_id", "folder", "stem_key", "kind", "identifier", "wall", "off")
@@ -319,41 +337,58 @@ _CLASS = """CASE WHEN {l}.wall IS NULL OR {r}.wall IS NULL THEN 'unavailable'
   ELSE 'incompatible' END"""
 
 
-@query(f"""WITH {_INSPECT}, i AS (SELECT source_name, folder, stem_key, count(*) AS n, min(asset_id) AS asset_id FROM ins WHERE kind = 'image' AND identifier IS NULL GROUP BY 1, 2, 3),
+@query(f"""WITH {_NUMBERED}, i AS (SELECT source_name, folder, stem_key, count(*) AS n, min(asset_id) AS asset_id FROM ins WHERE kind = 'image' AND identifier IS NULL GROUP BY 1, 2, 3),
 p AS (SELECT v.asset_id AS video, i.asset_id AS image, i.n, {_CLASS.format(l='im', r='v')} AS class FROM ins v JOIN i ON v.source_name = i.source_name AND v.folder = i.folder AND v.stem_key = i.stem_key
   JOIN ins im ON im.asset_id = i.asset_id WHERE v.kind = 'video' AND v.identifier IS NOT NULL)
 SELECT 'apple_live_photo' AS relationship_type, CASE WHEN n = 1 AND class != 'incompatible' THEN 'active' ELSE 'ambiguous' END AS status,
   CASE WHEN n = 1 AND class != 'incompatible' THEN image ELSE video END AS primary_id, CASE WHEN n = 1 AND class != 'incompatible' THEN video END AS secondary_id,
   CAST(CASE WHEN n = 1 AND class IN ('incompatible', 'unavailable') THEN 0.85 ELSE 0.9 END AS DOUBLE) AS confidence, n AS candidates FROM p""")
 def j14_one_sided_pairs(spark, folder):
-    return relations.one_sided_pairs(_inspect(spark, folder))
+    return relations.one_sided_pairs(numbered(spark, folder))
+
+
+@query(f"""WITH {_NUMBERED}, k AS (SELECT source_name, stem_key, count_if(kind = 'image') AS i, count_if(kind = 'video') AS v, min(asset_id) FILTER (kind = 'image') AS a, min(asset_id) FILTER (kind = 'video') AS b
+  FROM ins WHERE identifier IS NULL GROUP BY 1, 2)
+SELECT 'active' AS status, a AS primary_id, b AS secondary_id FROM k JOIN ins l ON l.asset_id = a JOIN ins r ON r.asset_id = b
+WHERE i = 1 AND v = 1 AND {_CLASS.format(l='l', r='r')} IN ('exact_within_3_seconds', 'same_wall_clock_within_3_seconds', 'unavailable')""")
+def j15_unambiguous_pairs(spark, folder):
+    # keys with one image and one video: the part of the fallback that SQL can say
+    return relations.only_pairs(numbered(spark, folder)).select("status", "primary_id", "secondary_id")
 
 
 @query()
 def j15_fallback_pairs(spark, folder):
-    return relations.fallback_pairs(_inspect(spark, folder))
+    return relations.fallback_pairs(numbered(spark, folder))
 
 
 @query()
 def relations_detected(spark, folder):
-    return relations.detect(_inspect(spark, folder))
+    return relations.detect(numbered(spark, folder))
 
 
 @query(f"""WITH {_INSPECT}, x AS (SELECT identifier, min(asset_id) FILTER (kind = 'image') AS i, min(asset_id) FILTER (kind = 'video') AS v FROM ins WHERE identifier IS NOT NULL GROUP BY 1)
-SELECT l.asset_id AS image_id, r.asset_id AS video_id, {_CLASS.format(l='l', r='r')} AS class FROM x JOIN ins l ON x.i = l.asset_id JOIN ins r ON x.v = r.asset_id""")
+SELECT l.asset_id, r.asset_id AS other_id, {_CLASS.format(l='l', r='r')} AS class FROM ins l JOIN x USING (identifier) JOIN ins r ON r.asset_id = CASE WHEN l.kind = 'image' THEN x.v ELSE x.i END""")
 def f13_timestamp_class(spark, folder):
+    # every asset with an identifier against the first of the other kind
     rows = _inspect(spark, folder).where("identifier is not null")
     first = lambda k, n: F.min(F.when(F.col("kind") == k, F.struct("asset_id", "wall", "off"))).alias(n)
-    pairs = rows.groupBy("identifier").agg(first("image", "l"), first("video", "r")).where("l is not null and r is not null")
-    return pairs.select(
-        F.col("l.asset_id").alias("image_id"), F.col("r.asset_id").alias("video_id"),
-        T.timestamp_class((F.col("l.wall"), F.col("l.off")), (F.col("r.wall"), F.col("r.off"))).alias("class"),
-    )
+    firsts = rows.groupBy("identifier").agg(first("image", "i"), first("video", "v"))
+    pairs = rows.join(firsts, "identifier").withColumn("o", F.when(F.col("kind") == "image", F.col("v")).otherwise(F.col("i"))).where("o is not null")
+    return pairs.select("asset_id", F.col("o.asset_id").alias("other_id"), T.timestamp_class((F.col("wall"), F.col("off")), (F.col("o.wall"), F.col("o.off"))).alias("class"))
 
 
 _EDGES = "SELECT DISTINCT asset_id, r AS bundle_id FROM (SELECT asset_id, unnest(relationship_ids) AS r FROM {t})"
 
 
+_FIRST = "plan_first AS (SELECT DISTINCT * FROM planning_assets QUALIFY rank() OVER (PARTITION BY asset_id ORDER BY recorded_at) = 1)"
+
+
+def plan_first(spark: SparkSession, folder: str) -> DataFrame:
+    df = table(spark, folder, "planning_assets")
+    others = [c for c in df.columns if c not in ("asset_id", "recorded_at")]
+    return df.groupBy("asset_id").agg(F.min(F.struct("recorded_at", *others)).alias("b")).select("asset_id", *[F.col(f"b.{c}").alias(c) for c in others])
+
+
 def _edges(df: DataFrame) -> DataFrame:
     return df.select("asset_id", F.explode("relationship_ids").alias("bundle_id")).distinct()
 
@@ -373,14 +408,13 @@ def j7_relationship_report(spark, folder):
     )
 
 
-@query(f"""WITH {PLAN}, o AS ({_EDGES.format(t='planning_assets')}), n AS ({_EDGES.format(t="(SELECT * FROM plan_cur WHERE size_bytes % 3 != 0)")})
+@query(f"""WITH {PLAN}, {_FIRST}, o AS ({_EDGES.format(t='plan_first')}), n AS ({_EDGES.format(t='plan_cur')})
 SELECT coalesce(o.asset_id, n.asset_id) AS asset_id, coalesce(o.bundle_id, n.bundle_id) AS bundle_id,
   CASE WHEN o.asset_id IS NULL THEN 'created' WHEN n.asset_id IS NULL THEN 'stale' ELSE 'reused' END AS change
 FROM o FULL JOIN n ON o.asset_id = n.asset_id AND o.bundle_id = n.bundle_id""")
 def j8_edge_changes(spark, folder):
-    # the newer state is one in which a third of the assets lost their edges
-    new = plan_cur(spark, folder).where("size_bytes % 3 != 0")
-    return relations.edge_changes(_edges(table(spark, folder, "planning_assets")), _edges(new), ["asset_id", "bundle_id"])
+    # the edges as first recorded against the latest
+    return relations.edge_changes(_edges(plan_first(spark, folder)), _edges(plan_cur(spark, folder)), ["asset_id", "bundle_id"])
 
 
 # -- planning ------------------------------------------------------------------------------
@@ -466,48 +500,47 @@ def f16_destination_paths(spark, folder):
 
 # -- dates ---------------------------------------------------------------------------------
 
+_DATED = "(?:^|[_ -])([0-9]{4})[-_]?(0[1-9]|1[0-2])[-_]?(0[1-9]|[12][0-9]|3[01])(?:$|[_ -])"
 
-@query(f"""WITH {CUR}, d AS (SELECT asset_id, size_bytes, sha256, absolute_path, captured_at FROM cur WHERE size_bytes IS NOT NULL AND sha256 IS NOT NULL),
+
+@query(f"""WITH {PLAN}, d AS (SELECT asset_id, size_bytes, sha256, absolute_path, captured_at FROM plan_cur WHERE size_bytes IS NOT NULL AND sha256 IS NOT NULL),
 k AS (SELECT size_bytes, sha256, max(struct_pack(p := absolute_path, c := captured_at)) AS m FROM d WHERE captured_at IS NOT NULL GROUP BY 1, 2)
 SELECT d.asset_id, m.p AS from_path, m.c AS captured_at FROM d JOIN k USING (size_bytes, sha256) WHERE d.captured_at IS NULL""")
 def j11_duplicate_dates(spark, folder):
-    return dates.counterparts(cur(spark, folder), [F.col("size_bytes"), F.col("sha256")], "captured_at")
+    return dates.counterparts(plan_cur(spark, folder), [F.col("size_bytes"), F.col("sha256")], "captured_at")
 
 
-@query(f"""WITH {CUR}, d AS (SELECT asset_id, regexp_extract(absolute_path, '^(.*)/[^/]*$', 1) AS f, lower(regexp_replace(filename, '^(.+)\\.[^.]+$', '\\1')) AS s, absolute_path, captured_at FROM cur),
-k AS (SELECT f, s, max(struct_pack(p := absolute_path, c := captured_at)) AS m FROM d WHERE captured_at IS NOT NULL GROUP BY 1, 2)
-SELECT d.asset_id, m.p AS from_path, m.c AS captured_at FROM d JOIN k USING (f, s) WHERE d.captured_at IS NULL""")
+@query(f"""WITH {CUR}, d AS (SELECT asset_id, source_name || '/' || regexp_extract(filename, '([0-9]+)\\.[^.]*$', 1)::BIGINT // 50 AS k, absolute_path, captured_at,
+  CASE WHEN lower(extension) = '.dng' THEN 'raw' WHEN lower(extension) IN ('.jpg', '.jpeg') THEN 'jpeg' END AS f FROM cur),
+k AS (SELECT k, f, max(struct_pack(p := absolute_path, c := captured_at)) AS m FROM d WHERE captured_at IS NOT NULL AND f IS NOT NULL GROUP BY 1, 2)
+SELECT d.asset_id, m.p AS from_path, m.c AS captured_at FROM d JOIN k ON d.k = k.k AND k.f != d.f WHERE d.captured_at IS NULL""")
 def j11_raw_pair_dates(spark, folder):
-    return dates.counterparts(cur(spark, folder), [T.path_parent(F.col("absolute_path")), F.lower(stem(F.col("filename")))], "captured_at")
+    # as if each source were one folder and each file had its number for a name
+    rows = cur(spark, folder).withColumn("k", F.concat("source_name", F.lit("/"), F.expr(f"cast(regexp_extract(filename, r'{NUMBER}', 1) as bigint) div 50")))
+    return dates.raw_counterparts(rows, [F.col("k")], "captured_at")
 
 
-@query(f"""WITH {CUR}, d AS (SELECT asset_id, regexp_extract(absolute_path, '^(/[^/]*/[^/]*/[^/]*)', 1) AS folder, filename, regexp_replace(filename, '^(.+)\\.[^.]+$', '\\1') AS s,
-  CASE WHEN camera_make IS NOT NULL THEN mtime_ns // 1000 END AS us FROM cur),
-r AS (SELECT asset_id, folder || '/' || filename AS path, folder, us, regexp_extract(s, '^(.*?)([0-9]{{3,8}})$', 1) AS prefix, try_cast(nullif(regexp_extract(s, '^(.*?)([0-9]{{3,8}})$', 2), '') AS BIGINT) AS n FROM d),
-w AS (SELECT *, max(CASE WHEN us IS NOT NULL THEN struct_pack(n := n, p := path, a := us) END) OVER (PARTITION BY folder, prefix ORDER BY n RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lo,
-  min(CASE WHEN us IS NOT NULL THEN struct_pack(n := n, p := path, a := us) END) OVER (PARTITION BY folder, prefix ORDER BY n RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS hi FROM r WHERE n IS NOT NULL)
+@query(f"""WITH {CUR}, r AS (SELECT asset_id, source_name AS folder, absolute_path AS path, regexp_extract(filename, '([0-9]+)\\.[^.]*$', 1)::BIGINT AS n, {_WALL} AS us FROM cur),
+w AS (SELECT *, max(CASE WHEN us IS NOT NULL THEN struct_pack(n := n, p := path, a := us) END) OVER (PARTITION BY folder ORDER BY n RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lo,
+  min(CASE WHEN us IS NOT NULL THEN struct_pack(n := n, p := path, a := us) END) OVER (PARTITION BY folder ORDER BY n RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS hi FROM r)
 SELECT asset_id, lo.a + (hi.a - lo.a) * (n - lo.n) // (hi.n - lo.n) AS utc_micros, lo.p AS before_path, hi.p AS after_path FROM w
-WHERE us IS NULL AND hi.n - lo.n <= 50 AND hi.a - lo.a BETWEEN 0 AND 86400000000000""")
+WHERE us IS NULL AND hi.n - lo.n <= 5 AND hi.a - lo.a BETWEEN 0 AND 86400000000""")
 def j12_neighbours(spark, folder):
-    # the source's folder as the directory, and file times as dates, so that sequences are dense
-    rows = cur(spark, folder).withColumns({
-        "near": F.concat(F.regexp_extract("absolute_path", "^(/[^/]*/[^/]*/[^/]*)", 1), F.lit("/"), F.col("filename")),
-        "at": F.when(F.col("camera_make").isNotNull(), F.expr("mtime_ns div 1000")),
-    })
-    found = dates.neighbours(rows, "near", "at", 50, 86_400_000_000_000)
-    return found
+    # as if each source were one folder and each file had its number for a name; the operator's own limits
+    wall, _ = T.wall_and_offset(F.col("captured_at"))
+    rows = cur(spark, folder).select(
+        "asset_id", F.col("source_name").alias("folder"), F.lit("").alias("prefix"), F.regexp_extract("filename", NUMBER, 1).cast("bigint").alias("n"),
+        F.col("absolute_path").alias("path"), wall.alias("at"),
+    )
+    return dates.between_numbers(rows)
 
 
-@query(f"""WITH {CUR}, t AS (SELECT asset_id, make_timestamp(mtime_ns // 1000) AS t FROM cur WHERE mtime_ns IS NOT NULL)
-SELECT asset_id, CASE WHEN asset_id % 3 = 2 THEN 'filename_date' ELSE 'filename_datetime' END AS kind,
-  CASE WHEN asset_id % 3 = 2 THEN strftime(t, '%Y-%m-%dT00:00:00') ELSE strftime(t, '%Y-%m-%dT%H:%M:%S') END AS at,
-  CASE WHEN asset_id % 3 = 2 THEN 90 ELSE 95 END AS confidence FROM t""")
+@query(f"""WITH {PLAN}, t AS (SELECT asset_id, regexp_replace(filename, '^(.+)\\.[^.]+$', '\\1') AS s FROM plan_cur),
+m AS (SELECT asset_id, regexp_extract(s, '{_DATED}', ['y', 'm', 'd']) AS g FROM t WHERE regexp_matches(s, '{_DATED}'))
+SELECT asset_id, 'filename_date' AS kind, g.y || '-' || g.m || '-' || g.d || 'T00:00:00' AS at, 90 AS confidence FROM m
+WHERE try_cast(g.y || '-' || g.m || '-' || g.d AS DATE) IS NOT NULL AND g.y BETWEEN '1970' AND '2100'""")
 def f21_filename_dates(spark, folder):
-    # names written from file times in three layouts, read back
-    at = F.expr("timestamp_micros(mtime_ns div 1000)")
-    name = F.concat(F.col("source_name"), F.lit("_"), F.when(F.col("asset_id") % 3 == 0, F.date_format(at, "yyyyMMdd_HHmmss")).when(
-        F.col("asset_id") % 3 == 1, F.date_format(at, "yyyy-MM-dd HH.mm.ss")).otherwise(F.date_format(at, "yyyy-MM-dd")), F.lit(".jpg"))
-    rows = cur(spark, folder).where("mtime_ns is not null").select("asset_id", dates.filename_evidence(name).alias("e"))
+    rows = plan_cur(spark, folder).select("asset_id", dates.filename_evidence(F.col("filename")).alias("e")).where("e is not null")
     return rows.select("asset_id", "e.kind", "e.at", "e.confidence")
 
 
@@ -561,10 +594,8 @@ def a12_run_totals(spark, folder):
     return o.join(per, o.run_id == per.l_orderkey).select("run_id", "status", "items", "done")
 
 
-@query("""SELECT l_orderkey, string_agg(CAST(l_linenumber AS VARCHAR), ';' ORDER BY l_linenumber) AS required,
-  coalesce(string_agg(CAST(l_linenumber AS VARCHAR), ';' ORDER BY l_linenumber) FILTER (l_linestatus = 'F'), '') AS completed,
-  coalesce(string_agg(CAST(l_linenumber AS VARCHAR), ';' ORDER BY l_linenumber) FILTER (l_linestatus != 'F'), '') AS failed,
-  CASE WHEN bool_and(l_linestatus = 'F') THEN 'complete' ELSE 'incomplete' END AS status FROM lineitem GROUP BY 1""")
+@query("""SELECT l_orderkey, l_linenumber, l_linestatus = 'F' AS done, count(*) OVER w AS required, count_if(l_linestatus = 'F') OVER w AS completed, count_if(l_linestatus != 'F') OVER w AS failed,
+  CASE WHEN bool_and(l_linestatus = 'F') OVER w THEN 'complete' ELSE 'incomplete' END AS status FROM lineitem WINDOW w AS (PARTITION BY l_orderkey)""")
 def a15_bundle_completeness(spark, folder):
     return runs.completeness(table(spark, folder, "lineitem"), "l_orderkey", "l_linenumber", F.col("l_linestatus") == "F")
 
@@ -611,14 +642,14 @@ def l1_upsert(spark, folder):
     return inventory.upsert(cur(spark, folder), scanned)
 
 
-@query("""SELECT asset_id FROM (SELECT DISTINCT asset_id, source_name FROM asset_snapshots WHERE snapshot_no = 5)
-WHERE source_name IN (SELECT source_name FROM scan_runs WHERE snapshot_no = 6 AND status = 'completed')
-  AND asset_id NOT IN (SELECT asset_id FROM asset_snapshots WHERE snapshot_no = 6)""")
+@query("""WITH clean AS (SELECT DISTINCT source_name, snapshot_no FROM scan_runs WHERE status = 'completed'),
+seen AS (SELECT DISTINCT source_name, asset_id, snapshot_no FROM asset_snapshots),
+w AS (SELECT *, lead(snapshot_no) OVER (PARTITION BY source_name, asset_id ORDER BY snapshot_no) AS again,
+  (SELECT min(c.snapshot_no) FROM clean c WHERE c.source_name = seen.source_name AND c.snapshot_no > seen.snapshot_no) AS told FROM seen)
+SELECT CAST(told AS BIGINT) AS snapshot_no, asset_id FROM w WHERE told IS NOT NULL AND (again IS NULL OR again > told)""")
 def j18_missing(spark, folder):
-    snaps = table(spark, folder, "asset_snapshots")
-    clean = table(spark, folder, "scan_runs").where("snapshot_no = 6 and status = 'completed'").select("source_name")
-    before = snaps.where("snapshot_no = 5").select("asset_id", "source_name").distinct()
-    return inventory.missing(before, snaps.where("snapshot_no = 6").select("asset_id"), clean).select("asset_id")
+    clean = table(spark, folder, "scan_runs").where("status = 'completed'").select("source_name", "snapshot_no")
+    return inventory.missing_at(table(spark, folder, "asset_snapshots"), clean, "source_name", "snapshot_no", "asset_id").select(F.col("snapshot_no").cast("long").alias("snapshot_no"), "asset_id")
 
 
 @query("""SELECT c.asset_id, CASE WHEN p.asset_id IS NULL THEN 'missing' WHEN c.size_bytes IS DISTINCT FROM p.size_bytes THEN 'size_mismatch'
@@ -638,11 +669,12 @@ def j10_orphan_references(spark, folder):
     return runs.orphans(table(spark, folder, "date_evidence"), "asset_id", owners).select("evidence_id").distinct()
 
 
-@query("""SELECT p.source_name, CASE WHEN EXISTS (SELECT 1 FROM import_batches b JOIN date_evidence e ON e.asset_id = b.asset_id - 6000000 WHERE b.source_name = p.source_name AND e.confidence >= 99)
+@query(f"""WITH {CUR} SELECT p.source_name, CASE WHEN EXISTS (SELECT 1 FROM cur b JOIN date_evidence e USING (asset_id) WHERE b.source_name = p.source_name AND e.evidence_type = 'google_json' AND e.confidence >= 99)
   THEN 'stale' ELSE 'ready' END AS plan_status FROM capture_sources p""")
 def j17_stale_plans(spark, folder):
-    items = table(spark, folder, "import_batches").select("source_name", (F.col("asset_id") - 6000000).alias("asset_id"))
-    changed = table(spark, folder, "date_evidence").where("confidence >= 99")
+    # a source's plan is stale if a sidecar has given one of its assets a new date
+    items = cur(spark, folder).select("source_name", "asset_id")
+    changed = table(spark, folder, "date_evidence").where("evidence_type = 'google_json' and confidence >= 99")
     return runs.affected(table(spark, folder, "capture_sources").select("source_name"), items, changed, "source_name", "asset_id")
 
 
@@ -687,11 +719,11 @@ def f25_evidence_values(spark, folder):
     return cur(spark, folder).select("asset_id", T.evidence_value(v, "source").alias("source"), T.evidence_value(v, "gone").alias("absent"))
 
 
-@query(f"""WITH {PLAN} SELECT source_name, sha256(string_agg(CAST(asset_id AS VARCHAR) || '=' || coalesce(sha256, ''), ';' ORDER BY asset_id)) AS fingerprint FROM plan_cur GROUP BY 1""")
+@query(f"""WITH {PLAN}, d1 AS (SELECT source_name, asset_id // 1000 AS b, sha256(string_agg(CAST(asset_id AS VARCHAR) || '=' || coalesce(sha256, ''), ';' ORDER BY asset_id)) AS d FROM plan_cur GROUP BY 1, 2),
+d2 AS (SELECT source_name, b // 1000 AS b, sha256(string_agg(b || '=' || d, ';' ORDER BY b)) AS d FROM d1 GROUP BY 1, 2)
+SELECT source_name, sha256(string_agg(b || '=' || d, ';' ORDER BY b)) AS fingerprint FROM d2 GROUP BY 1""")
 def f26_fingerprints(spark, folder):
-    item = F.struct("asset_id", F.concat(F.col("asset_id").cast("string"), F.lit("="), F.coalesce("sha256", F.lit(""))).alias("v"))
-    rows = plan_cur(spark, folder).groupBy("source_name").agg(F.array_sort(F.collect_list(item)).alias("a"))
-    return rows.select("source_name", F.sha2(F.array_join(F.col("a.v"), ";"), 256).alias("fingerprint"))
+    return runs.fingerprints(plan_cur(spark, folder), "source_name", "asset_id", F.coalesce("sha256", F.lit("")))
 
 
 @query("""WITH s AS (SELECT DISTINCT o_orderkey AS k, CAST(o_totalprice * 1000 AS BIGINT) AS b FROM orders)
@@ -763,13 +795,12 @@ def l5_gated_plans(spark, folder):
     return o.where("o_orderstatus = 'F'").select("plan_id").distinct().join(o.where("o_orderstatus = 'P'"), "plan_id", "left_anti")
 
 
-@query("""SELECT a.source_name, b.source_name AS inside FROM capture_sources a JOIN capture_sources b ON a.source_name != b.source_name
-AND (starts_with(a.root_path, b.root_path || '/') OR starts_with('/vol/' || split_part(a.root_path, '/', 3), b.root_path || '/'))""")
-def l10_overlapping_roots(spark, folder):
-    roots = table(spark, folder, "capture_sources").select("source_name", "root_path")
-    # every ancestor of a root, so that overlap is an equality and no pairs of roots are compared
-    up = roots.select("source_name", F.explode(F.expr("transform(sequence(2, size(split(root_path, '/')) - 1), k -> array_join(slice(split(root_path, '/'), 1, k), '/'))")).alias("root_path"))
-    return up.join(roots.withColumnRenamed("source_name", "inside"), "root_path").where("source_name != inside").select("source_name", "inside")
+@query(f"""WITH {CUR}, f AS (SELECT DISTINCT source_name, regexp_extract(absolute_path, '^(.*)/[^/]*$', 1) AS folder FROM cur UNION SELECT source_name, root_path FROM capture_sources)
+SELECT a.source_name, a.folder, b.folder AS inside FROM f a JOIN f b ON a.source_name = b.source_name AND starts_with(a.folder, b.folder || '/')""")
+def l10_overlapping_folders(spark, folder):
+    f = cur(spark, folder).select("source_name", T.path_parent(F.col("absolute_path")).alias("folder"))
+    f = f.unionByName(table(spark, folder, "capture_sources").select("source_name", F.col("root_path").alias("folder"))).distinct()
+    return inventory.inside(f, "source_name", "folder")
 
 
 @query("SELECT doc_id, sha256(text) AS sha256, strlen(text) AS size_bytes FROM documents WHERE text IS NOT NULL")
@@ -794,11 +825,16 @@ def f29_progress(spark, folder):
     return per.select(F.col("l_orderkey").alias("k"), T.progress(F.col("d"), F.col("t"), F.lit(8)).alias("p")).select("k", "p.percent", "p.speed", "p.eta_s")
 
 
-@query(f"""WITH {CUR} SELECT asset_id, mtime_ns // 1000000000 * 1000000 AS utc_micros FROM cur WHERE mtime_ns IS NOT NULL""")
+@query("""SELECT evidence_id, evidence_type, CASE WHEN evidence_type = 'google_json' THEN try_cast(candidate_timestamp AS BIGINT) * 1000000 END AS utc_micros,
+  CASE WHEN evidence_type = 'xmp_sidecar' THEN nullif(candidate_timestamp, '') END AS stated
+FROM date_evidence WHERE evidence_type IN ('google_json', 'xmp_sidecar') AND regexp_matches(candidate_timestamp, '^[0-9A-Za-z:+./ -]*\\z')""")
 def s7_sidecar_times(spark, folder):
-    # a sidecar written from each file time, read back
-    from lumenfold.sources.media import takeout_micros
-
-    seconds = F.expr("mtime_ns div 1000000000").cast("string")
-    side = F.to_json(F.struct(F.struct(seconds.alias("timestamp")).alias("photoTakenTime")))
-    return cur(spark, folder).where("mtime_ns is not null").select("asset_id", takeout_micros(side).alias("utc_micros"))
+    # the sidecars the evidence was read from, written again from it and read
+    from lumenfold.sources.media import takeout_micros, xmp_capture
+
+    value = F.col("candidate_timestamp")
+    json = F.to_json(F.struct(F.struct(value.alias("timestamp")).alias("photoTakenTime")))
+    xmp = F.concat(F.lit("<rdf:Description photoshop:DateCreated='"), value, F.lit("' xmp:Rating='3'/>"))
+    rows = table(spark, folder, "date_evidence").where("evidence_type in ('google_json', 'xmp_sidecar')").where(value.rlike("^[0-9A-Za-z:+./ -]*\\z"))
+    google = F.col("evidence_type") == "google_json"
+    return rows.select("evidence_id", "evidence_type", F.when(google, takeout_micros(json)).alias("utc_micros"), F.when(~google, xmp_capture(xmp)).alias("stated"))
\ No newline at end of file
