@@ -62,6 +62,16 @@ def import_name(name: Column, ident: Column, again: Column | None = None) -> Col
     return F.concat(stem, F.lit("__import_"), F.lpad(ident.cast("string"), 8, "0"), more, suffix)
 
 
+def case_fold(text: Column) -> Column:
+    """Case folded as file systems compare names: full mappings by way of upper case, one sigma."""
+    return F.translate(F.lower(F.upper(text)), "ς", "σ")
+
+
+def source_root(path: Column, relative: Column) -> Column:
+    """The root above a relative path; null where the path does not end with it."""
+    return F.when(F.endswith(path, F.concat(F.lit("/"), relative)), F.substring(path, F.lit(1), F.length(path) - F.length(relative) - 1))
+
+
 def destination_path(template: str, fields: dict[str, Column]) -> Column:
     """A template such as ``{year}/{month}/{original_name}``, compiled to one concat."""
     import re
@@ -124,6 +134,25 @@ def gps_degrees(d: Column, m: Column, s: Column, hemisphere: Column, most: float
     return F.when((d >= 0) & m.between(0, 59.999999) & s.between(0, 59.999999) & (F.abs(value) <= most), value)
 
 
+def altitude(value: Column, below: Column) -> Column:
+    """Metres above the sea: negative where the reference is 1, below the sea."""
+    return F.when(below == 1, -value).otherwise(value)
+
+
+# The EXIF tags of capture times, the first valid one counts.
+CAPTURE_TAGS = ((36867, "exif_datetime_original"), (36868, "exif_datetime_digitized"), (306, "exif_datetime"))
+
+
+def exif_capture(tags: dict[int, Column]) -> Column:
+    """struct(wall, offset, source) of the first valid time among the EXIF tags; null without one."""
+    out = F.lit(None).cast("struct<wall:bigint,offset:bigint,source:string>")
+    for tag, label in reversed(CAPTURE_TAGS):
+        if tag in tags:
+            wall, offset = wall_and_offset(tags[tag])
+            out = F.when(wall.isNotNull(), F.struct(wall.alias("wall"), offset.cast("bigint").alias("offset"), F.lit(label).alias("source"))).otherwise(out)
+    return out
+
+
 def wall_and_offset(text: Column) -> tuple[Column, Column]:
     """(wall-clock microseconds, offset seconds) of an EXIF or ISO time; the offset null if it has none.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,20 +52,26 @@ def shared_size_flags(df: DataFrame, size: str = "size_bytes") -> DataFrame:
     )
 
 
-def keeper_order() -> list:
+#: The preferences of a keeper that may be switched off; the source's override always counts.
+PREFERENCES = ("relationship_complete", "source_priority", "human_readable", "uuid_name", "metadata_fields", "path_length")
+
+
+def keeper_order(prefer: Sequence[str] = PREFERENCES) -> list:
     """Nine keys, the smaller the better; the last is unique."""
     c = F.col
     fields = sum(c(x).isNotNull().cast("int") for x in ("captured_at", "camera_make", "camera_model"))
     flag = lambda x: F.coalesce(x, F.lit(False)).cast("int")
+    on = lambda name, key: [key] if name in prefer else []
     return [
-        c("relationship_complete").cast("int").desc(), c("source_priority").desc_nulls_last(), c("source_override").desc_nulls_last(),
-        flag(human_readable(c("filename"))).desc(), flag(uuid_name(c("filename"))).asc(), fields.desc(),
-        F.length("relative_path").asc_nulls_last(), c("absolute_path").asc_nulls_last(), c("asset_id").asc(),
+        *on("relationship_complete", c("relationship_complete").cast("int").desc()), *on("source_priority", c("source_priority").desc_nulls_last()),
+        c("source_override").desc_nulls_last(), *on("human_readable", flag(human_readable(c("filename"))).desc()),
+        *on("uuid_name", flag(uuid_name(c("filename"))).asc()), *on("metadata_fields", fields.desc()),
+        *on("path_length", F.length("relative_path").asc_nulls_last()), c("absolute_path").asc_nulls_last(), c("asset_id").asc(),
     ]
 
 
-def keepers(df: DataFrame, digest: str = "sha256") -> DataFrame:
+def keepers(df: DataFrame, digest: str = "sha256", prefer: Sequence[str] = PREFERENCES) -> DataFrame:
     """Of each digest the best row by ``keeper_order``; pruned before the shuffle (WindowGroupLimit)."""
     rows = df.where(F.col(digest).isNotNull())
-    window = Window.partitionBy(digest).orderBy(*keeper_order())
+    window = Window.partitionBy(digest).orderBy(*keeper_order(prefer))
     return rows.withColumn("__n", F.row_number().over(window)).where("__n = 1").drop("__n")

@@ -101,25 +101,66 @@ def _without(rows: DataFrame, *edges: DataFrame) -> DataFrame:
     return rows.join(reduce(DataFrame.unionByName, ids).where("asset_id is not null"), "asset_id", "left_anti")
 
 
+def motion_photos(rows: DataFrame) -> DataFrame:
+    """Images that hold a video (motion_kind, motion_status): an edge without a second asset."""
+    found = rows.where("kind = 'image' and motion_kind is not null").withColumn("n", F.lit(1))
+    active = F.col("motion_status") == "active"
+    edges = _edge(found, "", F.col("motion_status"), "asset_id", F.lit(None), F.when(active, 0.99).otherwise(0.0))
+    kinds = found.select(F.col("asset_id").alias("primary_id"), F.concat("motion_kind", F.lit("_motion_photo")).alias("relationship_type"))
+    return edges.drop("relationship_type").join(kinds, "primary_id").select(*COLUMNS)
+
+
 def detect(rows: DataFrame) -> DataFrame:
-    """All stages: exact, one-sided, filename fallback, orphans.
+    """All stages: motion photos (if the rows tell them), exact, one-sided, filename fallback, orphans.
 
-    Each stage's result is written to the shared folder, as all later stages read it.
+    The rows, what the exact stage leaves and the fallback's result are written to the shared folder,
+    as several later stages read them; everything else is planned once.
     """
     rows = materialise(rows)
-    exact = materialise(exact_pairs(rows))
-    matched = rows.where("kind = 'image' and identifier is not null").select("identifier").distinct()
-    taken = rows.where("kind = 'video'").join(matched, "identifier", "left_semi").select(F.col("asset_id").alias("primary_id"), F.lit(None).cast("long").alias("secondary_id"))
-    left = materialise(_without(rows, exact, taken))
-    sided = materialise(one_sided_pairs(left))
-    left = materialise(_without(left, sided))
-    named = materialise(fallback_pairs(left))
-    left = _without(left, named.where("status = 'active'")).where("identifier is not null")
-    orphans = left.select(
+    edges = []
+    left = rows
+    if "motion_kind" in rows.columns:
+        edges.append(motion_photos(rows))
+        left = rows.where("not coalesce(kind = 'image' and motion_kind is not null, false)")
+    exact = exact_pairs(left)
+    by_id = left.where("identifier is not null").groupBy("identifier").agg(F.count_if(F.col("kind") == "image").alias("i"), F.count_if(F.col("kind") == "video").alias("v"))
+    paired = by_id.where("i > 0 and v > 0").select("identifier")
+    left = materialise(left.join(paired, "identifier", "left_anti"))
+    sided = one_sided_pairs(left)
+    free = _without(left, sided)
+    named = materialise(fallback_pairs(free))
+    rest = _without(free, named.where("status = 'active'")).where("identifier is not null")
+    orphans = rest.select(
         F.concat(F.lit("orphan_motion_"), F.col("kind")).alias("relationship_type"), F.lit("orphan").alias("status"),
         F.col("asset_id").alias("primary_id"), F.lit(None).cast("long").alias("secondary_id"), F.lit(0.9).alias("confidence"), F.lit(0).cast("long").alias("candidates"),
     )
-    return reduce(DataFrame.unionByName, [exact, sided, named, orphans])
+    return reduce(DataFrame.unionByName, [*edges, exact, sided, named, orphans])
+
+
+def report_order(edges: DataFrame, assets: DataFrame) -> DataFrame:
+    """The edges with both paths, in the order of the report: type, primary path, secondary or -1."""
+    path = lambda side: assets.select(F.col("asset_id").alias(f"{side}_id"), F.col("absolute_path").alias(f"{side}_path"))
+    both = edges.join(path("primary"), "primary_id").join(path("secondary"), "secondary_id", "left")
+    return both.orderBy("relationship_type", "primary_path", F.coalesce("secondary_id", F.lit(-1)), "status")
+
+
+def stored_edges(old: DataFrame, new: DataFrame, inspected: DataFrame) -> DataFrame:
+    """(keys, change) of stored edges against new ones: an edge is kept if type, both assets and status
+    are the same; confidence does not count. Edges of assets that were not inspected are ``kept``."""
+    keys = ["relationship_type", "status", "primary_id", "secondary_id"]
+    seen = inspected.select(F.col("asset_id").alias("primary_id"), F.lit(True).alias("__seen"))
+    rows = edge_changes(old, new, keys).join(seen, "primary_id", "left")
+    return rows.select(*keys, F.when((F.col("change") == "stale") & F.col("__seen").isNull(), "kept").otherwise(F.col("change")).alias("change"))
+
+
+def asset_states(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """(asset_id, state): ``failed`` with an error and no edge, ``invalid`` if its last edge is, else ``completed``."""
+    last = edges.groupBy(F.col("primary_id").alias("asset_id")).agg(
+        F.max(F.struct("relationship_type", F.coalesce("secondary_id", F.lit(-1)).alias("s"), "status"))["status"].alias("last")
+    )
+    error = F.col("error").isNotNull() if "error" in rows.columns else F.lit(False)
+    state = F.when(error & F.col("last").isNull(), "failed").when(F.col("last") == "invalid", "invalid").otherwise("completed")
+    return rows.join(last, "asset_id", "left").select("asset_id", state.alias("state"))
 
 
 def edge_changes(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

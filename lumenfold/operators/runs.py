@@ -71,3 +71,20 @@ def affected(plans: DataFrame, items: DataFrame, changed: DataFrame, plan: str,
     """Plans with an item among the changed keys become ``stale``."""
     hit = items.join(changed.select(key).distinct(), key, "left_semi").select(plan).distinct().withColumn("__hit", F.lit(True))
     return plans.join(hit, plan, "left").withColumn("plan_status", F.when(F.col("__hit"), "stale").otherwise("ready")).drop("__hit")
+
+
+def completed_work(items: DataFrame, runs: DataFrame, run: str, plan: str, dry: str, status: str, size: str) -> DataFrame:
+    """(plan, items, written): work done in any real run of a plan, so that a new run need not repeat it.
+
+    Copied and already verified items count as done, copied ones with their bytes; dry runs do nothing.
+    """
+    done = items.join(runs.where(~F.col(dry)).select(run, plan), run).where(F.col(status).isin("copied", "verified_existing"))
+    return done.groupBy(plan).agg(F.count("*").alias("items"), F.coalesce(F.sum(F.when(F.col(status) == "copied", F.col(size))), F.lit(0)).alias("written"))
+
+
+def reversible(recorded: DataFrame, observed: DataFrame, key: str, owned: Column) -> DataFrame:
+    """(key, outcome) of files a run owns: ``planned`` to be taken back if unchanged, else why not."""
+    mine = recorded.where(owned).select(key, "sha256")
+    seen = observed.select(key, F.col("sha256").alias("d"), F.lit(True).alias("seen"))
+    outcome = F.when(F.col("seen").isNull(), "missing").when(F.col("sha256").eqNullSafe(F.col("d")), "planned").otherwise("content_changed")
+    return mine.join(seen, key, "left").select(key, outcome.alias("outcome"))

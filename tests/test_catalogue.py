@@ -5,11 +5,11 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from lumenfold.plans import catalogue, problems
+from lumenfold.plans import catalogue, curation, problems
 from tests.oracle import compare, duck
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-SQL = {**catalogue.ORACLE, **problems.ORACLE}
+SQL = {**catalogue.ORACLE, **curation.ORACLE, **problems.ORACLE}
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
 
