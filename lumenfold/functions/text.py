@@ -63,8 +63,11 @@ def import_name(name: Column, ident: Column, again: Column | None = None) -> Col
 
 
 def case_fold(text: Column) -> Column:
-    """Case folded as file systems compare names: full mappings by way of upper case, one sigma."""
-    return F.translate(F.lower(F.upper(text)), "ς", "σ")
+    """Case folded as file systems compare names: by way of upper case, with one sigma and ß as ss.
+
+    All in the JVM; of the letters that fold to several only ß does so here (``unicode`` has the others).
+    """
+    return F.translate(F.regexp_replace(F.lower(F.upper(text)), "[ßẞ]", "ss"), "ς", "σ")
 
 
 def source_root(path: Column, relative: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Report sinks: one ordered file with a header, committed as a whole."""
+"""Report sinks, committed as a whole: the job commit makes a report appear at once or not at all."""
 
 from __future__ import annotations
 
@@ -8,19 +8,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _flat(df: DataFrame) -> DataFrame:
+    """Arrays joined by ``;``."""
+    return df.select([F.array_join(F.col(c), ";").alias(c) if t.startswith("array") else F.col(c) for c, t in df.dtypes])
+
+
 def write_csv(df: DataFrame, path: str, order: Sequence[Column | str]) -> None:
-    """Write a report sorted by ``order``. The job commit makes it appear as a whole or not at all.
+    """Write a report sorted by ``order``, with a header in each file.
 
-    Reports are for people and end in one sorted file; use ``write_parquet`` for data of any size.
-    Arrays are joined by ``;``. An empty report still has its header.
+    The sort is by ranges, so a large report is several files whose names are in its order, and no
+    task sorts it alone; a small one is one file. An empty report still has its header.
     """
-    flat = [F.array_join(F.col(c), ";").alias(c) if t.startswith("array") else F.col(c) for c, t in df.dtypes]
-    out = df.orderBy(*order).select(flat).coalesce(1)
-    if out.isEmpty():
-        out = df.sparkSession.createDataFrame([tuple(df.columns)], ", ".join(f"c{i} string" for i in range(len(df.columns)))).coalesce(1)
-        out.write.mode("overwrite").csv(path, header=False, escape='"')
-    else:
-        out.write.mode("overwrite").csv(path, header=True, escape='"', lineSep="\n")
+    _flat(df.orderBy(*order)).write.mode("overwrite").csv(path, header=True, escape='"', lineSep="\n")
+
+
+def write_rows(df: DataFrame, path: str, order: Sequence[Column | str], fallback: Sequence[str] = ("path", "status")) -> None:
+    """``write_csv`` of rows whose columns are not known before: without any column the header is ``fallback``."""
+    if not df.columns:
+        df = df.sparkSession.createDataFrame([], ", ".join(f"`{c}` string" for c in fallback))
+        order = list(fallback)
+    write_csv(df, path, order)
+
+
+def write_json(df: DataFrame, path: str, order: Sequence[Column | str]) -> None:
+    """One JSON object a line, sorted; nulls are written."""
+    df.orderBy(*order).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def write_text(df: DataFrame, path: str, column: str, order: Sequence[Column | str]) -> None:
+    """The lines of one text column, sorted by ``order``."""
+    df.orderBy(*order).select(F.coalesce(F.col(column).cast("string"), F.lit("")).alias("value")).write.mode("overwrite").text(path, lineSep="\n")
 
 
 def write_parquet(df: DataFrame, path: str, partition: str | None = None) -> None:

@@ -80,6 +80,62 @@ def test_import_plan(spark):
     assert len(set(dest)) == 3 and plan(spark, [], []) == {}
 
 
+def test_no_name_is_given_twice(spark):
+    # suffixed names that exist already, or that another candidate bears, are passed over
+    rows = [(i, s, 1, f"/{s}/{n}", n, 100 + i, None, None) for i, s, n in [(1, "a", "x.jpg"), (2, "b", "x.jpg"), (3, "c", "X.JPG"), (4, "d", "x__import_00000002.jpg"), (5, "e", "straße.jpg"), (6, "f", "STRASSE.jpg"), (7, "g", "noext"), (8, "h", "noext")]]
+    got = plan(spark, rows, [], ["imported/x__import_00000003.jpg", "imported/x__import_00000003_1.jpg", "imported/x__import_00000003_1_1_1.jpg"])
+    assert {k: v[1] for k, v in got.items()} == {
+        1: "Imported/x.jpg", 2: "Imported/x__import_00000002_1.jpg", 3: "Imported/X__import_00000003_1_1.JPG", 4: "Imported/x__import_00000002.jpg",
+        5: "Imported/straße.jpg", 6: "Imported/STRASSE__import_00000006.jpg", 7: "Imported/noext", 8: "Imported/noext__import_00000008",
+    }
+
+
+def test_reuse_and_followers(spark):
+    cand = [(1, "a", 90, "/a/x.jpg", "d/x.jpg", 4, "d", "completed"), (2, "b", 5, "/b/y.jpg", "y.jpg", 4, "d", "completed"), (3, "a", 9, "/a/z.jpg", "z.jpg", 5, "e", "completed"),
+            (4, "b", 5, "/b/w.jpg", "w.jpg", 5, "e", "completed"), (5, "b", 5, "/b/v.jpg", "v.jpg", 4, "f", "completed")]
+    rows = planning.single_copies(planning.classify(spark.createDataFrame(cand, CAND), spark.createDataFrame([], LIB)))
+    there = spark.createDataFrame([("base a/d/x.jpg", 77, "/lib/x.jpg", 4, "d"), ("imported/v.jpg", 78, "/lib/v.jpg", 4, "other")], "claim_key string, asset_id long, absolute_path string, size_bytes long, sha256 string")
+    bases = spark.createDataFrame([("a", "Base A")], "source_name string, base string")
+    got = {r.asset_id: (r.action, r.destination, r.canonical_asset_id, r.matching_path, r.collided) for r in planning.follow(planning.place(rows, there, bases)).collect()}
+    assert got == {
+        1: ("reuse_destination", "Base A/d/x.jpg", 77, "/lib/x.jpg", True), 2: ("duplicate_candidate", None, 77, "/lib/x.jpg", False), 3: ("new", "Base A/z.jpg", None, None, False),
+        4: ("duplicate_candidate", None, None, "Base A/z.jpg", False), 5: ("new", "Imported/v__import_00000005.jpg", None, None, True),
+    }
+
+
+def test_motion_photos_come_first(spark):
+    rows = relations.inspections(spark.createDataFrame([asset(1, "/d/a.jpg", "id"), asset(2, "/d/b.mov", "id"), asset(3, "/d/c.jpg"), asset(4, "/d/d.jpg", "x")], ASSET))
+    told = spark.createDataFrame([(1, "google", "active", None), (3, "samsung", "invalid", None), (4, None, None, "unreadable")], "asset_id long, motion_kind string, motion_status string, error string")
+    rows = rows.join(told, "asset_id", "left")
+    found = relations.detect(rows)
+    assert sorted((r.relationship_type, r.status, r.primary_id, r.confidence) for r in found.collect()) == [
+        ("google_motion_photo", "active", 1, 0.99), ("orphan_motion_image", "orphan", 4, 0.9), ("orphan_motion_video", "orphan", 2, 0.9), ("samsung_motion_photo", "invalid", 3, 0.0)]
+    states = {r.asset_id: r.state for r in relations.asset_states(rows, found.where("primary_id != 4")).collect()}
+    assert states == {1: "completed", 2: "completed", 3: "invalid", 4: "failed"}
+    ordered = relations.report_order(found, rows).collect()
+    assert [r.primary_id for r in ordered] == [1, 4, 2, 3]
+
+
+def test_stored_edges(spark):
+    schema = "relationship_type string, status string, primary_id long, secondary_id long, confidence double"
+    old = spark.createDataFrame([("p", "active", 1, 2, 1.0), ("p", "active", 3, None, 1.0), ("p", "active", 9, None, 1.0)], schema)
+    new = spark.createDataFrame([("p", "active", 1, 2, 0.5), ("p", "ambiguous", 3, None, 1.0)], schema)
+    seen = spark.createDataFrame([(1,), (3,)], "asset_id long")
+    got = {(r.status, r.primary_id): r.change for r in relations.stored_edges(old, new, seen).collect()}
+    assert got == {("active", 1): "reused", ("active", 3): "stale", ("ambiguous", 3): "created", ("active", 9): "kept"}
+
+
+def test_gathered_dates(spark):
+    row = lambda i, path, size=None, sha=None, mtime=None, at=None: (i, path, path.rpartition("/")[2], "." + path.rpartition(".")[2], size, sha, mtime, at)
+    rows = [row(1, "/d/IMG_0001.dng", 5, "x"), row(2, "/d/IMG_0001.jpg", 6, "y", None, "2020-01-01T00:00:00"), row(3, "/e/copy.jpg", 5, "x", None, "2021-01-01T00:00:00"),
+            row(4, "/2019-05-06/IMG_20180102_030405.jpg", None, None, 5_000_000_000), row(5, "/f/P0002.jpg"), row(6, "/f/P0001.jpg", None, None, None, "2020-01-01T00:00:00"),
+            row(7, "/f/P0003.jpg", None, None, None, "2020-01-01T00:02:00")]
+    df = spark.createDataFrame(rows, "asset_id long, absolute_path string, filename string, extension string, size_bytes long, sha256 string, mtime_ns long, captured_at string")
+    got = {(r.asset_id, r.kind): r.confidence for r in dates.gather(df).collect()}
+    assert got == {(1, "exact_duplicate"): 99, (1, "raw_jpeg_pair"): 98, (4, "filename_datetime"): 95, (4, "folder_date"): 88, (4, "filesystem_mtime"): 40, (5, "neighbor_interpolation"): 93}
+    assert dates.gather(df.limit(0)).count() == 0
+
+
 def test_dates(spark):
     names = ["IMG_20210517_123456.jpg", "2021-05-17 12.34.56.jpg", "Screenshot_2021-05-17-12-34-56.png", "PXL_20210517_123456789.jpg", "holiday 2021-05-17.jpg", "invoice_123456789.pdf", "IMG_20210230_123456.jpg"]
     df = spark.createDataFrame(list(enumerate(names)), "i int, n string").select("i", dates.filename_evidence(F.col("n")).alias("e")).orderBy("i")
@@ -150,14 +206,56 @@ def test_files_and_markers(spark, tmp_path):
     assert got["plain.jpg"] == hashlib.sha256(b"trailing bytes").hexdigest()
 
 
+def test_streamed_files(spark, tmp_path):
+    import hashlib
+    import io
+
+    # markers across the ends of reads; results equal those of the whole value
+    xmp = b'<x GCamera:MotionPhoto="1" GCamera:MicroVideoOffset="7"/>'
+    uuid = b"com.apple.quicktime.content.identifier\x00 0007B23C-93B8-4D35-A947-6221F6554AEB"
+    for shift in range(0, 120, 7):
+        data = b"." * (4096 - shift) + xmp + b"MotionPhoto_Data" + b"." * 3000 + uuid + b"." * 50
+        got = media.scan_stream(io.BytesIO(data), 4096)
+        assert got["sha256"] == hashlib.sha256(data).hexdigest() and got["size_bytes"] == len(data) and got["flag"] and got["stated"] == 7
+        assert got["samsung_end"] == data.index(b"MotionPhoto_Data") + 16 and got["identifier"] == "0007B23C-93B8-4D35-A947-6221F6554AEB"
+    (tmp_path / "a b.jpg").write_bytes(data)
+    (tmp_path / "empty.jpg").write_bytes(b"")
+    (tmp_path / "ü%20.mov").write_bytes(b"x" * 10)
+    rows = {r.path.rpartition("/")[2]: r for r in media.inspect_files(media.scan_tree(spark, str(tmp_path))).collect()}
+    assert len(rows) == 3 and all(r.error is None for r in rows.values()), rows
+    one = next(r for r in rows.values() if r.size_bytes == len(data))
+    assert tuple(one.motion) == ("google", "active", 7) and one.identifier == "0007b23c-93b8-4d35-a947-6221f6554aeb"
+    assert next(r for r in rows.values() if r.size_bytes == 0).sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_scan_of_a_tree(spark, tmp_path):
+    import os
+
+    (tmp_path / "root/a/b").mkdir(parents=True)
+    (tmp_path / "other").mkdir()
+    for name in ("root/x.JPG", "root/a/.hidden", "root/a/b/clip 1.MOV", "other/secret.jpg"):
+        (tmp_path / name).write_bytes(b"12345" if "x" in name else b"")
+    (tmp_path / "root/link").symlink_to(tmp_path / "other")
+    (tmp_path / "root/file.jpg").symlink_to(tmp_path / "other/secret.jpg")
+    os.utime(tmp_path / "root/x.JPG", ns=(5, 1_600_000_000_123_456_789))
+    rows = {r.relative_path: r for r in media.scan_tree(spark, str(tmp_path / "root")).collect()}
+    assert set(rows) == {"x.JPG", "a/.hidden", "a/b/clip 1.MOV"}
+    x = rows["x.JPG"]
+    assert (x.size_bytes, x.mtime_ns, x.extension, x.media_type, x.error) == (5, 1_600_000_000_123_456_789, ".jpg", "image", None) and x.inode == os.stat(tmp_path / "root/x.JPG").st_ino
+    assert rows["a/.hidden"].extension == "" and rows["a/b/clip 1.MOV"].media_type == "video"
+    gone = media.scan_tree(spark, str(tmp_path / "nowhere")).collect()
+    assert len(gone) == 1 and gone[0].error and media.inspect_files(spark.createDataFrame([(str(tmp_path / "nowhere"),)], "path string")).first().error
+
+
 def test_tool_output(spark):
     probe = '{"streams":[{"codec_type":"audio","codec_name":"aac"},{"codec_type":"video","codec_name":"h264","width":4,"avg_frame_rate":"30000/1001","tags":{"creation_time":"2021-01-01T00:00:00Z"}}],"format":{"duration":"1.5","bit_rate":"x","tags":{"creation_time":"2020-01-02T03:04:05Z"}}}'
     df = spark.createDataFrame([(probe,), ("{}",), ("nonsense",), (None,)], "j string")
     rows = [r.p for r in df.select(media.probe_metadata(F.col("j")).alias("p")).collect()]
     assert (rows[0].captured_at, rows[0].captured_at_source, rows[0].audio_codec, rows[0].bitrate, rows[0].duration_seconds) == ("2020-01-02T03:04:05Z", "video_format_creation_time", "aac", None, 1.5)
     assert all(r.captured_at is None and r.captured_at_source == "none" for r in rows[1:])
-    df = spark.createDataFrame([('{"CreateDate":"b","DateTimeOriginal":"a"}', '<x CreateDate="c">', '{"photoTakenTime":{"timestamp":"12"}}')], "a string, b string, c string")
-    assert tuple(df.select(media.capture_value(F.col("a")), media.xmp_capture(F.col("b")), media.takeout_micros(F.col("c"))).first()) == ("a", "c", 12_000_000)
+    tags = '{"CreateDate":"2021:01:02 03:04:05","DateTimeOriginal":"0000:00:00 00:00:00"}'  # the first that names a real time counts
+    df = spark.createDataFrame([(tags, '<x CreateDate="c">', '{"photoTakenTime":{"timestamp":"12"}}')], "a string, b string, c string")
+    assert tuple(df.select(media.capture_value(F.col("a")), media.xmp_capture(F.col("b")), media.takeout_micros(F.col("c"))).first()) == ("2021:01:02 03:04:05", "c", 12_000_000)
 
 
 def test_reports(spark, tmp_path):
@@ -169,6 +267,14 @@ def test_reports(spark, tmp_path):
     assert next((tmp_path / "e").glob("part-*.csv")).read_text() == "id,text,ids\n"
 
 
+    reports.write_json(df, str(tmp_path / "j"), ["id"])
+    assert next((tmp_path / "j").glob("part-*.json")).read_text().splitlines()[0] == '{"id":1,"text":"a,b","ids":[]}'
+    reports.write_text(df, str(tmp_path / "t"), "text", ["id"])
+    assert next((tmp_path / "t").glob("part-*.txt")).read_text() == 'a,b\nsay "hi"\n'
+    reports.write_rows(spark.range(0).select(), str(tmp_path / "n"), [])
+    assert next((tmp_path / "n").glob("part-*.csv")).read_text() == "path,status\n"
+
+
 def test_streaming_inventory(spark, tmp_path):
     at = lambda k: dt.datetime(2024, 1, 1) + dt.timedelta(hours=k)
     schema = "asset_id long, source_name string, size_bytes long, delivered_at timestamp"
