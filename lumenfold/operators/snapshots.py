@@ -85,7 +85,7 @@ def asset_snapshot_changes(snapshots: DataFrame, runs: DataFrame) -> DataFrame:
         "status": one_form(F.col("scan_status")),
         "missing": F.coalesce(F.col("missing_us").cast("string"), one_form(F.col("missing_since"))),
     })
-    rows = latest_rows(rows, ["source_name", "snapshot_no", "asset_id"], "delivered_at", values)
+    rows = latest_rows(rows, ["snapshot_no", "asset_id"], "delivered_at", ["source_name", *values])
     pairs = counting_snapshots(runs, "source_name", "snapshot_no", "status", ["completed", "completed_with_errors"])
     return snapshot_changes(rows, pairs, "source_name", "snapshot_no", "asset_id", values).select(
         "snapshot_no", "asset_id", "change"
