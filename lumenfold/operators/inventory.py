@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.functions.text import path_name, path_parent
+from lumenfold.functions.text import path_name, path_parent, safe_relative
 
 
 def scan_filter(
@@ -32,11 +32,14 @@ def changed(a: Column, b: Column) -> Column:
 def review(inventory: DataFrame, observed: DataFrame, key: str = "asset_id") -> DataFrame:
     """(key, reason) of rows that no longer match a fresh scan; the first reason holds.
 
-    ``observed`` has the key, obs_size and obs_mtime; a row without partner is missing.
+    ``observed`` has the key, obs_size and obs_mtime, and may have ``regular``, false for what is no
+    regular file; a row without partner is missing.
     """
+    regular = F.col("regular") if "regular" in observed.columns else F.lit(True)
     reason = (
-        F.when(F.col("relative_path").startswith("/") | F.coalesce(F.col("relative_path").contains("../"), F.lit(False)), "unsafe_path")
+        F.when(~safe_relative(F.col("relative_path")), "unsafe_path")
         .when(F.col("__seen").isNull(), "missing")
+        .when(~F.coalesce(regular, F.lit(True)), "non_regular_file")
         .when(changed(F.col("size_bytes"), F.col("obs_size")), "size_changed")
         .when(changed(F.col("mtime_ns"), F.col("obs_mtime")), "mtime_changed")
     )
@@ -99,6 +102,14 @@ def missing_fields(df: DataFrame, rules: dict[str, str], key: str = "asset_id")
     return df.select(key, F.array_join(labels, ";").alias("missing")).where("missing != ''")
 
 
+#: Rules of ``missing_fields`` for the metadata of images and videos.
+METADATA = {
+    "captured_at": "captured_at is null", "dimensions": "width is null or height is null", "camera": "media_type = 'image' and (camera_make is null or camera_model is null)",
+    "gps": "media_type = 'image' and (latitude is null or longitude is null)", "duration": "media_type = 'video' and duration_seconds is null",
+    "video_codec": "media_type = 'video' and video_codec is null",
+}
+
+
 def last_write(df: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
     """INSERT OR REPLACE: of rows with equal keys the last one."""
     others = [c for c in df.columns if c not in (*keys, *by)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -88,3 +89,25 @@ def reversible(recorded: DataFrame, observed: DataFrame, key: str, owned: Column
     seen = observed.select(key, F.col("sha256").alias("d"), F.lit(True).alias("seen"))
     outcome = F.when(F.col("seen").isNull(), "missing").when(F.col("sha256").eqNullSafe(F.col("d")), "planned").otherwise("content_changed")
     return mine.join(seen, key, "left").select(key, outcome.alias("outcome"))
+
+
+def superseded(plans: DataFrame, group: str, ident: str, status: str) -> DataFrame:
+    """(group, ident, status): the latest draft of each group is ``superseded``; all others stay."""
+    last = plans.where(F.col(status) == "draft").groupBy(group).agg(F.max(ident).alias("__last"))
+    rows = plans.join(last, group, "left")
+    return rows.select(group, ident, F.when(F.col(ident) == F.col("__last"), "superseded").otherwise(F.col(status)).alias(status))
+
+
+def mark_failed(runs: DataFrame, status: str, started: str, cutoff: Column) -> DataFrame:
+    """The runs with ``stale`` ones as ``failed``."""
+    gone = (F.col(status) == "running") & (F.col(started) < cutoff)
+    return runs.withColumn(status, F.when(F.coalesce(gone, F.lit(False)), "failed").otherwise(F.col(status)))
+
+
+def audit(references: dict[str, tuple[DataFrame, str, DataFrame, str]]) -> DataFrame:
+    """(reference, orphans): of each named reference (rows, key, owners, owner key) the rows without an owner."""
+    counts = [
+        rows.where(F.col(key).isNotNull()).join(owners.select(F.col(own).alias(key)).distinct(), key, "left_anti").agg(F.count("*").alias("orphans")).select(F.lit(name).alias("reference"), "orphans")
+        for name, (rows, key, owners, own) in references.items()
+    ]
+    return reduce(DataFrame.unionByName, counts)

@@ -129,7 +129,7 @@ def pred_p6_safe_paths(spark, folder):
     return cur(spark, folder).select("asset_id", T.safe_relative(F.col("relative_path")).alias("safe"))
 
 
-_REVIEW = """CASE WHEN starts_with(c.relative_path, '/') OR coalesce(contains(c.relative_path, '../'), false) THEN 'unsafe_path'
+_REVIEW = """CASE WHEN starts_with(c.relative_path, '/') OR list_has_any(string_split(c.relative_path, '/'), ['', '.', '..']) THEN 'unsafe_path'
   WHEN s.asset_id IS NULL THEN 'missing' WHEN s.obs_size != c.size_bytes THEN 'size_changed' WHEN s.obs_mtime != c.mtime_ns THEN 'mtime_changed' END"""
 
 
@@ -225,9 +225,12 @@ _STATS = {
 }
 
 
-@query(f"WITH {CUR} SELECT {', '.join(f'CAST(count_if({c}) AS BIGINT) AS {n}' for n, c in _STATS.items())}, CAST(coalesce(sum(size_bytes), 0) AS BIGINT) AS bytes FROM cur")
+@query(f"WITH {CUR} SELECT {', '.join(f'CAST(count_if({c}) AS BIGINT) AS {n}' for n, c in _STATS.items())}, CAST(coalesce(sum(size_bytes), 0) AS BIGINT) AS bytes, (SELECT max_by(error_count, run_id) FROM scan_runs) AS run_errors FROM cur")
 def a4_inventory_stats(spark, folder):
-    return cur(spark, folder).agg(*inventory.counted(**_STATS), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes"))
+    # the errors are those that the latest scan has counted
+    last = table(spark, folder, "scan_runs").agg(F.max(F.struct("run_id", "error_count"))["error_count"].alias("run_errors")).withColumn("k", F.lit(1))
+    totals = cur(spark, folder).agg(*inventory.counted(**_STATS), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes")).withColumn("k", F.lit(1))
+    return totals.join(last, "k").drop("k")
 
 
 @query(f"""WITH {CUR} SELECT asset_role, CAST(count_if(hash_status = 'completed') AS BIGINT) AS hashed, count(*) AS files,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions import text as T
 from lumenfold.functions.unicode import collision_key
-from lumenfold.operators import dates, dedup, planning, relations, runs
+from lumenfold.operators import dates, dedup, inventory, planning, relations, runs
 from lumenfold.plans import catalogue as C
 from lumenfold.sources.tables import table
 
@@ -213,3 +213,60 @@ def w1_keepers_by_name(spark, folder):
     # all preferences off but that against generated names
     rows = C.plan_cur(spark, folder).withColumns({"relationship_complete": F.lit(False), "source_override": F.lit(0)})
     return dedup.keepers(rows, prefer=("uuid_name",)).select("sha256", "asset_id")
+
+
+@query(f"""WITH {C.CUR}, seen AS (SELECT absolute_path, nullif(b.s, -1) AS obs_size, nullif(b.m, -1) AS obs_mtime FROM (
+  SELECT absolute_path, max(struct_pack(d := delivered_at, s := coalesce(size_bytes, -1), m := coalesce(mtime_ns, -1))) AS b FROM asset_snapshots WHERE absolute_path IS NOT NULL GROUP BY 1)),
+{C._UPSERT.replace('asset_id', 'absolute_path')} SELECT absolute_path, size_bytes, mtime_ns, CASE WHEN fresh OR reset THEN 'pending' ELSE h END AS hash_status,
+  CASE WHEN NOT fresh AND NOT reset THEN d END AS sha256, CASE WHEN seen THEN 'available' ELSE 'missing' END AS scan_status FROM u""")
+def k4_upsert_by_path(spark, folder):
+    snaps = table(spark, folder, "asset_snapshots").where("absolute_path is not null")
+    best = F.max(F.struct("delivered_at", F.coalesce("size_bytes", F.lit(-1)).alias("s"), F.coalesce("mtime_ns", F.lit(-1)).alias("m"))).alias("b")
+    null = lambda c: F.nullif(F.col(c), F.lit(-1).cast("long"))
+    scanned = snaps.groupBy("absolute_path").agg(best).select("absolute_path", null("b.s").alias("size_bytes"), null("b.m").alias("mtime_ns"))
+    return inventory.upsert(C.cur(spark, folder), scanned, "absolute_path")
+
+
+_DRAFT = "CASE WHEN status = 'running' THEN 'draft' ELSE status END"
+
+
+@query(f"""SELECT source_name, run_id, CASE WHEN {_DRAFT} = 'draft' AND run_id = max(run_id) FILTER ({_DRAFT} = 'draft') OVER (PARTITION BY source_name) THEN 'superseded' ELSE {_DRAFT} END AS status FROM scan_runs""")
+def l6_superseded(spark, folder):
+    # runs that never ended stand for drafts
+    plans = table(spark, folder, "scan_runs").select("source_name", "run_id", F.when(F.col("status") == "running", "draft").otherwise(F.col("status")).alias("status"))
+    return runs.superseded(plans, "source_name", "run_id", "status")
+
+
+@query("SELECT run_id, CASE WHEN coalesce(status = 'running' AND started_at < TIMESTAMP '2024-05-01', false) THEN 'failed' ELSE status END AS status FROM scan_runs")
+def l7_marked_failed(spark, folder):
+    return runs.mark_failed(table(spark, folder, "scan_runs"), "status", "started_at", F.expr("timestamp_ntz'2024-05-01'")).select("run_id", "status")
+
+
+@query("""SELECT 'evidence' AS reference, count(*) AS orphans FROM date_evidence WHERE asset_id IS NOT NULL AND asset_id NOT IN (SELECT asset_id FROM assets WHERE scan_status = 'available')
+UNION ALL SELECT 'snapshots', count(*) FROM asset_snapshots WHERE asset_id IS NOT NULL AND asset_id NOT IN (SELECT asset_id FROM assets)
+UNION ALL SELECT 'batches', count(*) FROM import_batches WHERE source_name IS NOT NULL AND source_name NOT IN (SELECT source_name FROM scan_runs WHERE status = 'completed_with_errors')""")
+def l11_audit(spark, folder):
+    assets, scans = table(spark, folder, "assets"), table(spark, folder, "scan_runs")
+    return runs.audit({
+        "evidence": (table(spark, folder, "date_evidence"), "asset_id", assets.where("scan_status = 'available'"), "asset_id"),
+        "snapshots": (table(spark, folder, "asset_snapshots"), "asset_id", assets, "asset_id"),
+        "batches": (table(spark, folder, "import_batches"), "source_name", scans.where("status = 'completed_with_errors'"), "source_name"),
+    })
+
+
+@query(f"""WITH {C.CUR}, {C._EVID}, p AS (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY asset_id ORDER BY confidence DESC, kind, source, us) = 1),
+r AS (SELECT asset_id, coalesce(bool_or(abs(e.us - p.us) > 120000000 AND e.confidence >= 88), false) AS conflict, any_value(p.confidence) AS c FROM p JOIN ev e USING (asset_id) GROUP BY 1)
+SELECT count(*) AS scanned, CAST(count_if(r.asset_id IS NOT NULL) AS BIGINT) AS resolved, CAST(count_if(coalesce(conflict, false)) AS BIGINT) AS conflicts, CAST(count_if(r.asset_id IS NULL) AS BIGINT) AS no_evidence FROM cur LEFT JOIN r USING (asset_id)""")
+def a20_conflicts(spark, folder):
+    resolved = C.QUERIES["w5_resolve_evidence"](spark, folder).select("asset_id", "conflict", F.lit(True).alias("resolved"))
+    return C.cur(spark, folder).select("asset_id").join(resolved, "asset_id", "left").agg(
+        F.count("*").alias("scanned"), F.count_if(F.col("resolved").isNotNull()).alias("resolved"), F.count_if(F.coalesce("conflict", F.lit(False))).alias("conflicts"),
+        F.count_if(F.col("resolved").isNull()).alias("no_evidence"),
+    )
+
+
+@query(f"""WITH {C.PLAN}, e AS ({C._EDGES.format(t='plan_cur')}), b AS (SELECT bundle_id, count(*) AS n FROM e GROUP BY 1)
+SELECT count(*) AS bundles, CAST(count_if(n = 1) AS BIGINT) AS single, CAST(count_if(n > 1) AS BIGINT) AS shared, CAST(coalesce(max(n), 0) AS BIGINT) AS largest FROM b""")
+def a14_bundle_counts(spark, folder):
+    sizes = C._edges(C.plan_cur(spark, folder)).groupBy("bundle_id").agg(F.count("*").alias("n"))
+    return sizes.agg(F.count("*").alias("bundles"), F.count_if(F.col("n") == 1).alias("single"), F.count_if(F.col("n") > 1).alias("shared"), F.coalesce(F.max("n"), F.lit(0)).alias("largest"))

@@ -128,7 +128,7 @@ def scan_stream(stream, chunk: int = CHUNK) -> dict:
     return {"size_bytes": size, "sha256": digest.hexdigest(), "flag": flagged, "stated": first(stated), "samsung_end": first(ends), "identifier": first(ids)}
 
 
-def _open(path: str):
+def open_file(path: str):
     """A stream of a file named as Spark names it: the name as it is, not as a URI writes it."""
     if path.startswith(("file:", "/")):
         return pafs.LocalFileSystem().open_input_stream(re.sub("^file:/+", "/", path), compression=None)
@@ -148,7 +148,7 @@ def inspect_files(listed: DataFrame, chunk: int = CHUNK) -> DataFrame:
             rows = []
             for path in batch.column("path").to_pylist():
                 try:
-                    with _open(path) as stream:
+                    with open_file(path) as stream:
                         rows.append({"path": path, "error": None, **scan_stream(stream, chunk)})
                 except Exception as error:  # noqa: BLE001 any trouble with one file is its own
                     rows.append({"path": path, "error": f"{type(error).__name__}: {error}"})

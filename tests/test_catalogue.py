@@ -1,6 +1,7 @@
 """Every query with oracle SQL, on the smallest tables."""
 
 import os
+from pathlib import Path
 
 import pytest
 
@@ -29,3 +30,16 @@ def test_entry_is_the_import_plan(spark):
 
 def test_llm_queries_are_optional():
     assert set(SQL) <= set(entry.queries())
+
+
+def test_report_families(spark, tmp_path):
+    from lumenfold.plans import reports
+
+    for family in reports.FAMILIES:
+        for path in reports.write_family(spark, FOLDER, family, str(tmp_path)):
+            files = sorted(Path(path).glob("part-*.csv"))
+            heads = {f.read_text().splitlines()[0] for f in files}
+            assert len(heads) == 1 and (Path(path) / "_SUCCESS").exists()
+    df, order = reports.report(spark, FOLDER, "library", "duplicates")
+    rows = spark.read.csv(f"{tmp_path}/library/duplicates", header=True)
+    assert rows.count() == df.count() and order[0] in rows.columns

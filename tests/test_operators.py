@@ -292,3 +292,58 @@ def test_streaming_inventory(spark, tmp_path):
     query = windows.writeStream.format("memory").queryName("arrivals").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(tuple(r)[1:] for r in spark.sql("select * from arrivals").collect()) == [("s", 1, 9), ("s", 4, 19)]
+
+
+def tiff(order="<"):
+    """A TIFF block with two times, a camera and a position."""
+    import struct
+
+    def directory(at, entries, extra_at):
+        out, extra = struct.pack(order + "H", len(entries)), b""
+        for tag, kind, n, value in entries:
+            if len(value) > 4:
+                out += struct.pack(order + "HHII", tag, kind, n, extra_at + len(extra))
+                extra += value
+            else:
+                out += struct.pack(order + "HHI", tag, kind, n) + value.ljust(4, b"\0")
+        return (out + b"\0" * 4).ljust(extra_at - at, b"\0") + extra
+
+    long, ratio = (lambda v: struct.pack(order + "I", v)), (lambda *v: b"".join(struct.pack(order + "II", *x) for x in v))
+    image = directory(8, [(271, 2, 4, b"Ost\0"), (306, 2, 20, b"2020:01:02 03:04:05\0"), (34665, 4, 1, long(200)), (34853, 4, 1, long(300)), (65000, 3, 1, b"\1\0")], 100)
+    exif = directory(200, [(36867, 2, 20, b"0000:00:00 00:00:00\0"), (36868, 2, 20, b"2019:05:06 07:08:09\0")], 250)
+    gps = directory(300, [(1, 2, 2, b"S\0"), (2, 5, 3, ratio((10, 1), (30, 1), (0, 1))), (3, 2, 2, b"E\0"), (4, 5, 3, ratio((20, 1), (15, 1), (0, 1))), (5, 1, 1, b"\1"), (6, 5, 1, ratio((55, 10)))], 400)
+    head = (b"II*\0" if order == "<" else b"MM\0*") + long(8)
+    return ((head + image).ljust(200, b"\0") + exif).ljust(300, b"\0") + gps
+
+
+def test_exif(spark, tmp_path):
+    import struct
+
+    from lumenfold.sources.exif import exif_tags, image_metadata
+
+    segment = lambda mark, body: b"\xff" + mark + struct.pack(">H", len(body) + 2) + body
+    jpeg = b"\xff\xd8" + segment(b"\xe0", b"JFIF") + segment(b"\xe2", b"x" * 60000) + segment(b"\xe1", b"Exif\0\0" + tiff()) + b"\xff\xda.."
+    cases = {"a.jpg": jpeg, "b.tif": tiff(">"), "cut.jpg": jpeg[:60500], "none.jpg": b"\xff\xd8\xff\xda", "text.jpg": b"hello", "empty.jpg": b"", "bad.tif": b"II*\0" + b"\xff" * 20}
+    for name, data in cases.items():
+        (tmp_path / name).write_bytes(data)
+    rows = {r.path.rpartition("/")[2]: r for r in image_metadata(media.scan_tree(spark, str(tmp_path))).collect()}
+    for name in ("a.jpg", "b.tif"):
+        r = rows[name]
+        assert (r.make, r.captured_from, r.latitude, r.longitude, r.altitude) == ("Ost", "exif_datetime_digitized", -10.5, 20.25, -5.5), r
+        assert r.wall == 1557126489 * 1_000_000 and r.offset is None and r.error is None
+    assert len(rows) == len(cases) and all(r.wall is None and r.latitude is None for n, r in rows.items() if n not in ("a.jpg", "b.tif", "cut.jpg"))
+    assert exif_tags(b"II*\0") == {}
+
+
+def test_runs_and_missing_fields(spark):
+    plans = spark.createDataFrame([("a", 1, "draft"), ("a", 2, "draft"), ("a", 3, "ready"), ("b", 4, "ready")], "g string, i long, status string")
+    assert {r.i: r.status for r in runs.superseded(plans, "g", "i", "status").collect()} == {1: "draft", 2: "superseded", 3: "ready", 4: "ready"}
+    rows = spark.createDataFrame([(1, "image", None, 4, 4, "m", "n", 1.0, None, None, None), (2, "video", "t", None, 4, None, None, None, None, None, "h264")],
+                                 "asset_id long, media_type string, captured_at string, width long, height long, camera_make string, camera_model string, latitude double, longitude double, duration_seconds double, video_codec string")
+    assert {r.asset_id: r.missing for r in inventory.missing_fields(rows, inventory.METADATA).collect()} == {1: "captured_at;gps", 2: "dimensions;duration"}
+    seen = spark.createDataFrame([(1, 5, 5, True), (2, 5, 5, False), (3, 6, 5, True)], "asset_id long, obs_size long, obs_mtime long, regular boolean")
+    mine = spark.createDataFrame([(1, "a/..", 5, 5), (2, "b", 5, 5), (3, "c", 5, 5), (4, "d", 5, 5), (5, None, 5, 5)], "asset_id long, relative_path string, size_bytes long, mtime_ns long")
+    assert {r.asset_id: r.reason for r in inventory.review(mine, seen).collect()} == {1: "unsafe_path", 2: "non_regular_file", 3: "size_changed", 4: "missing", 5: "missing"}
+    f = spark.createDataFrame([("g", i, f"v{i}") for i in (1, 999, 1000, 2_000_000)] + [("h", 1, "v1")], "g string, i long, v string")
+    one = {r.g: r.fingerprint for r in runs.fingerprints(f, "g", "i", F.col("v")).collect()}
+    assert one == {r.g: r.fingerprint for r in runs.fingerprints(f.orderBy(F.desc("i")), "g", "i", F.col("v")).collect()} and one["g"] != one["h"]
