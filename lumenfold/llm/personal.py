@@ -179,13 +179,22 @@ def vocabulary_words(path: str = VOCABULARY) -> tuple[frozenset[str], frozenset[
 
 
 _classes: dict[str, str] = {}
+_lexicon: tuple[frozenset[str], frozenset[str]] | None = None
+
+
+def use_lexicon(lexicon: tuple[frozenset[str], frozenset[str]]) -> None:
+    """The words of the vocabulary in this process; workers get them from the driver, not from a file."""
+    global _lexicon
+    if lexicon != _lexicon:
+        _lexicon = lexicon
+        _classes.clear()
 
 
 def word_class(word: str) -> str:
     """``g`` a listed given name, ``c`` a common word, ``p`` a word known only with a capital, ``r`` a rare one."""
     found = _classes.get(word)
     if found is None:
-        low, (common, proper) = word.casefold(), vocabulary_words()
+        low, (common, proper) = word.casefold(), _lexicon or vocabulary_words()
         found = "g" if low in _given else "c" if low in common else "p" if low in proper else "r"
         if len(_classes) > 1_000_000:
             _classes.clear()
@@ -378,10 +387,11 @@ def train(examples: list[tuple[str, set[tuple[int, int, str]]]], epochs: int = 1
     return weights
 
 
-@lru_cache(1)
-def trained_weights() -> tuple[tuple[str, float], ...]:
+@lru_cache(2)
+def trained_weights(vocabulary: str = VOCABULARY) -> tuple[tuple[str, float], ...]:
     from lumenfold.llm.training import examples
 
+    use_lexicon(vocabulary_words(vocabulary))
     return tuple(sorted(train(examples()).items()))
 
 
@@ -433,8 +443,9 @@ def _regions(texts: pa.Array, patterns: tuple[str, ...]) -> Iterator[tuple[int,
         yield int(owner[a]), str(data[cuts[a] : cuts[b + 1]], "utf-8"), kinds[bits]
 
 
-def _finder(weights: dict[str, float]):
+def _finder(weights: dict[str, float], lexicon: tuple[frozenset[str], frozenset[str]]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_lexicon(lexicon)
         patterns = anchor_patterns()
         for batch in batches:
             for part in parts(batch, "text"):
@@ -451,16 +462,19 @@ def _finder(weights: dict[str, float]):
     return run
 
 
-def find_items(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, kind, found): each distinct item of each row's text."""
-    weights = dict(trained_weights())
+def find_items(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(key, kind, found): each distinct item of each row's text. The driver reads the vocabulary."""
+    lexicon = vocabulary_words(vocabulary)
+    use_lexicon(lexicon)
+    weights = dict(trained_weights(vocabulary))
     inner = df.select(df[f"`{key}`"].alias("id"), df[f"`{text}`"].alias("text"))
     kind = inner.schema["id"].dataType.simpleString()
-    return inner.mapInArrow(_finder(weights), f"id {kind}, kind string, found string").withColumnRenamed("id", key)
+    return inner.mapInArrow(_finder(weights, lexicon), f"id {kind}, kind string, found string").withColumnRenamed("id", key)
 
 
-def _redactor(weights: dict[str, float], placeholders: dict[str, str]):
+def _redactor(weights: dict[str, float], placeholders: dict[str, str], lexicon: tuple[frozenset[str], frozenset[str]]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_lexicon(lexicon)
         patterns = anchor_patterns()
         for batch in batches:
             for part in parts(batch, "text"):
@@ -492,10 +506,12 @@ def _replaced(region: str, weights: dict[str, float], placeholders: dict[str, st
     yield region[at:]
 
 
-def redact(df: DataFrame, key: str, text: str, placeholders: dict[str, str] | None = None) -> DataFrame:
+def redact(df: DataFrame, key: str, text: str, placeholders: dict[str, str] | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
     """(key, text) with items replaced by ``[EMAIL]`` and so on; null texts stay null."""
+    lexicon = vocabulary_words(vocabulary)
+    use_lexicon(lexicon)
     placeholders = placeholders or {k: f"[{k.upper()}]" for k in KINDS}
     inner = df.select(df[f"`{key}`"].alias("id"), df[f"`{text}`"].alias("text"))
     kind = inner.schema["id"].dataType.simpleString()
-    done = inner.mapInArrow(_redactor(dict(trained_weights()), placeholders), f"id {kind}, text string")
+    done = inner.mapInArrow(_redactor(dict(trained_weights(vocabulary)), placeholders, lexicon), f"id {kind}, text string")
     return done.toDF(key, text)

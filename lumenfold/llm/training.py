@@ -10,7 +10,8 @@ import random
 import re
 from functools import lru_cache
 
-from lumenfold.llm.personal import GIVEN, THINGS, vocabulary_words
+from lumenfold.llm import personal
+from lumenfold.llm.personal import GIVEN, THINGS
 
 PER_TEMPLATE = 24
 
@@ -293,10 +294,15 @@ _PERSON = "by with to from of thank and for mail said dr".split()
 _CALLS = ["tel", "Tel.:", "phone", "fax", "mobile", "ring", "call", "taken at", "Phone", "Fax"]
 
 
-@lru_cache(1)
 def _words() -> tuple[list[str], list[str]]:
-    """(lower-case words, words known only with a capital) of the public vocabulary."""
-    common, proper = vocabulary_words()
+    """The words that ``personal`` goes by, in a fixed order."""
+    return _sorted(personal._lexicon or personal.vocabulary_words())
+
+
+@lru_cache(2)
+def _sorted(lexicon: tuple[frozenset[str], frozenset[str]]) -> tuple[list[str], list[str]]:
+    """(lower-case words, words known only with a capital)."""
+    common, proper = lexicon
     given = {g.casefold() for g in GIVEN}
     return sorted(w for w in common if len(w) > 1), sorted(w for w in proper if len(w) > 3 and w not in given)
 
