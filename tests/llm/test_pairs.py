@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lumenfold.llm.forest import ForestConfig, HashForest, batch_matches, content_classes, forest_labels
 from lumenfold.llm.nearest import _merged, merge_nearest, nearest_in_time
@@ -160,7 +161,8 @@ def test_forest_sets_of_common_pieces_alone(spark, sizes):
 def test_one_common_piece_forms_no_pairs(spark):
     rows = [(i, None, [7, 1000 + i], 0) for i in range(600)] + [(600 + i, None, [7, *range(10**6 + 20 * i, 10**6 + 20 * i + 9)], 0) for i in range(300)] + [(900, None, [7], 0)]
     forest = HashForest(spark, scratch_path(spark, "t"))
-    forest._write_classes("run-1", content_classes(spark.createDataFrame(rows, "id long, digest string, pieces array<long>, batch_no int")), len(rows))
+    files = content_classes(spark.createDataFrame(rows, "id long, digest string, pieces array<long>, batch_no int"), F.col("batch_no").alias("n"))
+    forest._write_classes("run-1", files.withColumn("i", F.col("id")), len(rows))
     found = forest._candidates(forest._read("run-1", "classes"), ["run-1"]).where("q != ckey").count()
     assert found == 2 * 600  # the set of that piece alone with each of two, both ways
 
