@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.functions.identity import content_identifier, media_type, stem
 from lumenfold.functions.text import normalised_stem, path_parent, timestamp_class, wall_and_offset
+from lumenfold.operators.relations_local import greedy
 from lumenfold.session import materialise
 
 COLUMNS = ("relationship_type", "status", "primary_id", "secondary_id", "confidence", "candidates")
@@ -81,17 +81,13 @@ def fallback_pairs(rows: DataFrame) -> DataFrame:
     of one image and one video are paired by an aggregate. In the others the order of the image paths
     decides contested videos; they are files of one name in sibling folders, and one task pairs them.
     """
-    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        from lumenfold.operators.relations_local import greedy
-
-        return greedy(pdf)
-
     keys = ["source_name", "stem_key", "parent"]
     free = rows.where("identifier is null").withColumn("parent", path_parent(F.col("folder")))
     is_image = F.col("kind") == "image"
     several = free.groupBy(*keys).agg(F.count_if(is_image).alias("i"), F.count_if(~is_image).alias("v")).where("i > 0 and v > 0 and i + v > 2").select(*keys)
     schema = "status string, primary_id long, secondary_id long, candidates long"
-    contested = free.join(several, keys, "left_semi").groupBy(*keys).applyInPandas(pair, schema)
+    rest = free.join(several, keys, "left_semi").select(*keys, "absolute_path", "asset_id", "kind", "wall", "off")
+    contested = rest.repartition(*keys).sortWithinPartitions(*keys, "absolute_path").mapInArrow(greedy(keys), schema)
     out = only_pairs(rows).unionByName(contested)
     return out.select(F.lit("filename_pair").alias("relationship_type"), "status", "primary_id", "secondary_id", F.lit(0.6).alias("confidence"), "candidates")
 
@@ -113,8 +109,8 @@ def motion_photos(rows: DataFrame) -> DataFrame:
 def detect(rows: DataFrame) -> DataFrame:
     """All stages: motion photos (if the rows tell them), exact, one-sided, filename fallback, orphans.
 
-    The rows, what the exact stage leaves and the fallback's result are written to the shared folder,
-    as several later stages read them; everything else is planned once.
+    The rows and the fallback's result are written to the shared folder, as several stages read them;
+    everything else is one plan.
     """
     rows = materialise(rows)
     edges = []
@@ -125,7 +121,7 @@ def detect(rows: DataFrame) -> DataFrame:
     exact = exact_pairs(left)
     by_id = left.where("identifier is not null").groupBy("identifier").agg(F.count_if(F.col("kind") == "image").alias("i"), F.count_if(F.col("kind") == "video").alias("v"))
     paired = by_id.where("i > 0 and v > 0").select("identifier")
-    left = materialise(left.join(paired, "identifier", "left_anti"))
+    left = left.join(paired, "identifier", "left_anti")
     sided = one_sided_pairs(left)
     free = _without(left, sided)
     named = materialise(fallback_pairs(free))
