@@ -12,6 +12,7 @@ from lumenfold.llm.nearest import live_pairs
 from lumenfold.llm.personal import find_items, redact
 from lumenfold.llm.representatives import planning_representatives
 from lumenfold.llm.tokens import encode_texts
+from lumenfold.plans.problems import instants_sql
 from lumenfold.sources.tables import table
 
 
@@ -51,7 +52,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p2_found, p3_found, p4_found, p6_ids, p7_mix, p7_shares, p8_found, p8_redacted)
 }
 _USABLE = "coalesce(lower(regexp_replace({c}, '^[\\s\\x00-\\x1f\\p{{Z}}\\p{{P}}\\p{{S}}]+|[\\s\\x00-\\x1f\\p{{Z}}\\p{{P}}\\p{{S}}]+$', '', 'g')) NOT IN ('', 'n/a', 'na', 'none', 'null', 'unknown', 'unknown make'), false)"
+_SPACE = "[\\s\\x1c-\\x1f\\x85\\p{Z}]"
+_ENTITY = f"nullif(lower(regexp_replace(regexp_replace(apple_content_identifier, '^{_SPACE}+|{_SPACE}+$', '', 'g'), '^[\\x00{{}}]+|[\\x00{{}}]+$', '', 'g')), '')"
+_VIDEO = "CASE WHEN lower(trim(media_type)) IN ('image', 'video') THEN lower(trim(media_type)) = 'video' ELSE lower(trim(extension)) IN ('.mov', '.mp4', '.m4v', '.avi', '.mkv', '.mts') END"
 ORACLE: dict[str, str] = {
+    "p3_found": f"""
+WITH {instants_sql()}, cur AS (
+  SELECT * FROM assets WHERE asset_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY asset_id ORDER BY last_seen_at DESC NULLS LAST, captured_at DESC NULLS LAST) = 1
+), r AS (
+  SELECT asset_id, {_ENTITY} AS entity, {_VIDEO} AS video, us FROM cur JOIN inst ON kind = 'asset' AND id = asset_id WHERE us IS NOT NULL
+)
+SELECT least(v.asset_id, i.asset_id) AS asset_id_a, greatest(v.asset_id, i.asset_id) AS asset_id_b
+FROM r v JOIN r i ON v.entity = i.entity AND v.video AND NOT i.video AND abs(v.us - i.us) <= 3000000
+QUALIFY row_number() OVER (PARTITION BY v.asset_id ORDER BY abs(v.us - i.us), i.us, i.asset_id) = 1
+""",
     "p2_found": f"""
 WITH p AS (
   SELECT DISTINCT * FROM planning_assets QUALIFY rank() OVER (PARTITION BY asset_id ORDER BY recorded_at DESC) = 1
