@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,6 +63,18 @@ def upsert(stored: DataFrame, scanned: DataFrame, key: str = "asset_id") -> Data
     )
 
 
+def refreshed(stored: DataFrame, written: DataFrame, key: str = "asset_id", fields: Sequence[str] = ("size_bytes", "sha256")) -> DataFrame:
+    """(key, fields, refreshed): the identity of stored files after some were written again.
+
+    Files of ``written`` take its values and count as refreshed if any differs; nulls equal nulls.
+    """
+    new = written.select(F.col(key).alias("__k"), *[F.col(f).alias(f"__{f}") for f in fields])
+    rows = stored.join(new, F.col(key) == F.col("__k"), "left")
+    known = F.col("__k").isNotNull()
+    differs = reduce(lambda a, b: a | b, [~F.col(f).eqNullSafe(F.col(f"__{f}")) for f in fields])
+    return rows.select(key, *[F.when(known, F.col(f"__{f}")).otherwise(F.col(f)).alias(f) for f in fields], (known & differs).alias("refreshed"))
+
+
 def missing_at(snapshots: DataFrame, clean: DataFrame, source: str, number: str, key: str) -> DataFrame:
     """(source, number, key): the clean scan at which each record is first found missing, every time it is.
 

@@ -270,3 +270,20 @@ SELECT count(*) AS bundles, CAST(count_if(n = 1) AS BIGINT) AS single, CAST(coun
 def a14_bundle_counts(spark, folder):
     sizes = C._edges(C.plan_cur(spark, folder)).groupBy("bundle_id").agg(F.count("*").alias("n"))
     return sizes.agg(F.count("*").alias("bundles"), F.count_if(F.col("n") == 1).alias("single"), F.count_if(F.col("n") > 1).alias("shared"), F.coalesce(F.max("n"), F.lit(0)).alias("largest"))
+
+
+@query(f"""WITH {C.PLAN}, {C._FIRST} SELECT f.asset_id, c.size_bytes, c.sha256, f.size_bytes IS DISTINCT FROM c.size_bytes OR f.sha256 IS DISTINCT FROM c.sha256 AS refreshed
+FROM plan_first f JOIN plan_cur c USING (asset_id)""")
+def l14_identity_refresh(spark, folder):
+    # the states first recorded, written again as the latest ones
+    return inventory.refreshed(C.plan_first(spark, folder), C.plan_cur(spark, folder))
+
+
+_SIDED = C.ORACLE["j14_one_sided_pairs"].replace("SELECT 'apple_live_photo' AS relationship_type", ", x AS (SELECT 'apple_live_photo' AS relationship_type", 1)
+
+
+@query(f"""{_SIDED}), e AS ({_EXACT.format(t='ins')}) SELECT relationship_type, status, exact, count(*) AS edges FROM (SELECT relationship_type, status, false AS exact FROM x UNION ALL SELECT relationship_type, status, true FROM e) GROUP BY ALL""")
+def a6_exact_and_sided_counts(spark, folder):
+    rows = C.numbered(spark, folder)
+    both = relations.exact_pairs(rows).unionByName(relations.one_sided_pairs(rows))
+    return both.groupBy("relationship_type", "status", (F.col("confidence") == 1.0).alias("exact")).agg(F.count("*").alias("edges"))
