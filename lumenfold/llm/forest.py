@@ -103,10 +103,12 @@ def content_classes(files: DataFrame, *keep: Column | str) -> DataFrame:
 
     ``pieces`` is the sorted set without nulls; empty or null gives null, which matches nothing.
     """
-    pieces = F.array_sort(F.array_distinct(F.filter("pieces", lambda x: x.isNotNull())))
-    pieces = F.when(F.size(pieces) > 0, pieces)
-    return files.select(
-        "id", *keep, "digest", pieces.alias("pieces"),
+    # sorted once, in its own projection: the parts below would each repeat it
+    sets = files.select("id", *keep, "digest", F.sort_array(F.array_distinct(F.array_compact("pieces"))).alias("pieces"))
+    names = [c for c in sets.columns if c not in ("id", "digest", "pieces")]
+    pieces = F.when(F.size("pieces") > 0, F.col("pieces"))
+    return sets.select(
+        "id", *names, "digest", pieces.alias("pieces"),
         # 128 bits of a hash name the class
         F.unhex(F.md5(F.concat_ws("|", F.coalesce("digest", F.lit("-")), F.coalesce(pieces.cast("string"), F.lit("-"))))).alias("class"),
     )
