@@ -96,11 +96,12 @@ def search(ranges: DataFrame, folder: str, runs: dict[int, tuple], carry: list[s
 
     ``ranges``: run, file, lo, hi (inclusive) and the carried columns, see ``assign``. ``schema`` is
     that of (run, *carry, *payload). Only the ranges are shuffled; each file goes to ``SALT`` tasks,
-    so that many ranges in one file are no one task's work.
+    so that many ranges in one file are no one task's work. A task goes through its ranges in order of
+    ``lo`` alone, one number to sort by, and so through each of its files in order.
     """
     names = {r: files for r, (files, _, _) in runs.items()}
     columns = ["run", "file", "lo", "hi", *carry]
-    dealt = ranges.select(*columns).repartition("run", "file", F.pmod(F.xxhash64(*carry), F.lit(SALT))).sortWithinPartitions("run", "file", "lo")
+    dealt = ranges.select(*columns).repartition("run", "file", F.pmod(F.xxhash64(*carry), F.lit(SALT))).sortWithinPartitions("lo")
     return dealt.mapInArrow(_reader(folder, names, carry, payload), schema)
 
 
@@ -111,29 +112,38 @@ def _reader(folder: str, names: dict[int, list[str]], carry: list[str], payload:
 
         def group(file: pq.ParquetFile, path: str, g: int) -> pa.Table:
             if (path, g) not in kept:
-                if len(kept) >= 4:
+                if len(kept) >= max(4, 2 * len(names)):
                     kept.pop(next(iter(kept)))
                 kept[path, g] = file.read_row_group(g, columns=list(dict.fromkeys(["key", *payload])))
             return kept[path, g]
 
-        at, opened = None, None
+        opened: dict[str, pq.ParquetFile] = {}
+
+        def file_at(path: str) -> pq.ParquetFile:
+            if path not in opened:
+                if len(opened) >= max(4, 2 * len(names)):
+                    opened.pop(next(iter(opened)))
+                opened[path] = pq.ParquetFile(path, filesystem=fs)
+            return opened[path]
+
         for batch in batches:
+            order = np.lexsort([batch.column(c).to_numpy(zero_copy_only=False) for c in ("file", "run")])  # stable: by lo in each file
+            batch = batch.take(pa.array(order))
             run_, file_, lo, hi = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("run", "file", "lo", "hi"))
             if not len(run_):
                 continue
             cuts = [0, *(np.flatnonzero((np.diff(run_) != 0) | (np.diff(file_) != 0)) + 1).tolist(), len(run_)]
             for a, b in zip(cuts, cuts[1:]):
                 path = names[int(run_[a])][int(file_[a])]
-                if path != at:
-                    at, opened = path, pq.ParquetFile(path, filesystem=fs)
-                meta = opened.metadata
+                file = file_at(path)
+                meta = file.metadata
                 k = meta.schema.names.index("key")
                 for g in range(meta.num_row_groups):
                     stats = meta.row_group(g).column(k).statistics
                     hit = a + np.flatnonzero((lo[a:b] <= stats.max) & (hi[a:b] >= stats.min))
                     if not len(hit):
                         continue
-                    table = group(opened, path, g)
+                    table = group(file, path, g)
                     keys = table.column("key").to_numpy()
                     i, j = np.searchsorted(keys, lo[hit], "left"), np.searchsorted(keys, hi[hit], "right")
                     yield from _emit(batch, table, hit, i, j - i, carry, payload)
