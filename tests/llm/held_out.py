@@ -68,7 +68,8 @@ World Health Organization figures differ from those of the European Union.
 """.strip().splitlines()
 
 
-#: Written last and looked at once, when all rules and features stood.
+#: Written after the rules and features were chosen on the lines above; nothing was changed for them since,
+#: though they were measured again after later changes (cues by words, German cues, more training lines).
 FRESH = """
 Nobody understood the device as well as <name> did.
 These tables go back to <name>.
